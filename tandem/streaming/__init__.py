@@ -1,0 +1 @@
+"""Empty: nothing this library covers is a stream (see README)."""
