@@ -45,7 +45,7 @@ def words_lower(text: Column) -> Column:
 def sgml_id(line: Column) -> Column:
     """Sentence id of a tagged line, -1 when it has none."""
     digits = F.nullif(F.regexp_extract(line, _ID_PATTERN, 1), F.lit(""))
-    return F.coalesce(digits.cast("int"), F.lit(-1))
+    return F.coalesce(digits.cast("long"), F.lit(-1).cast("long"))
 
 
 def sgml_words(line: Column) -> Column:

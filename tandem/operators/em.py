@@ -54,23 +54,38 @@ class Layout:
     pairs: DataFrame
     group: list[str]
     n_tasks: int
-    hot: DataFrame | None  # shuffle layout: target words cut into several groups
+    hot: DataFrame | None = None  # shuffle layout: target words cut into several groups
+    n_hot: int = 0
+
+    @property
+    def by_word(self) -> bool:
+        return self.hot is not None
 
     def join_table(self, table: DataFrame) -> DataFrame:
-        """Pairs with the cells of the table; pairs stay where they are."""
-        if self.hot is None:
+        """Pairs with the cells ``e, f, p`` of the table; pairs stay where they are."""
+        if not self.by_word:
             return self.pairs.join(F.broadcast(table), ["e", "f"])  # size checked by plan_layout
-        copies = (
-            table.join(F.broadcast(self.hot), "f", "left")
-            .select("e", "f", *[c for c in table.columns if c not in ("e", "f")],
-                    F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("salt"))
-            .repartition(self.n_tasks, "f", "salt")
-        )
+        if self.n_hot == 0:
+            copies = table.withColumn("salt", F.lit(0))
+        else:
+            cuts = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
+            copies = table.join(F.broadcast(self.hot), "f", "left").select(
+                "e", "f", "p", F.explode(cuts).alias("salt"))
+        copies = copies.repartition(self.n_tasks, "f", "salt")
         return self.pairs.join(copies.hint("shuffle_hash"), ["f", "salt", "e"])
 
-    def per_sentence_word(self) -> Window:
-        """All source words that compete for one target word of one sentence."""
-        return Window.partitionBy(*self.group)
+    def sum_cells(self, amounts: DataFrame) -> DataFrame:
+        """``c`` per cell. Grouped by word, tasks own whole groups, so nothing moves yet."""
+        keys = ["f", "salt", "e"] if self.by_word else ["e", "f"]
+        return amounts.groupBy(*keys).agg(F.sum("c").alias("c"))
+
+    def whole_cells(self, sums: DataFrame) -> DataFrame:
+        """``e, f, c`` after adding up the groups of the few words that were cut."""
+        if not self.by_word or self.n_hot == 0:
+            return sums.select("e", "f", "c")
+        hot = F.broadcast(self.hot)
+        cut = sums.join(hot, "f", "left_semi").groupBy("e", "f").agg(F.sum("c").alias("c"))
+        return sums.join(hot, "f", "left_anti").select("e", "f", "c").unionByName(cut)
 
 
 def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str = "auto",
@@ -95,12 +110,13 @@ def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str =
         )
         group = ["sid", "blk", "f"]
         pairs = explode_pairs(per_target_word(blocks, "blk"), "blk")
-        hot = None
+        hot, n_hot = None, 0
     else:
         # Words above 1/n of all pairs: fewer than n of them, cut into at most 2n groups.
         hot = cut_lineage(
             weights.filter(F.col("w") * n_tasks > total)
             .select("f", F.ceil(F.col("w") * n_tasks / F.lit(max(total, 1))).cast("int").alias("cuts")))
+        n_hot = hot.count()
         group = ["f", "salt", "sid"]
         salted = (
             per_target_word(bags).join(F.broadcast(hot), "f", "left")
@@ -110,7 +126,7 @@ def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str =
         )
         pairs = explode_pairs(salted, "salt")
     pairs = pairs.sortWithinPartitions(*group).persist(StorageLevel.MEMORY_AND_DISK)
-    return Layout(pairs, group, n_tasks, hot)
+    return Layout(pairs, group, n_tasks, hot, n_hot)
 
 
 def e_step(layout: Layout, table: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
@@ -119,21 +135,13 @@ def e_step(layout: Layout, table: DataFrame, null: Column, n_null: int = 1) -> D
     prior = position_prior(is_null, F.col("len") + F.lit(n_null))
     copies = F.when(is_null, F.col("ne") * F.lit(n_null)).otherwise(F.col("ne"))
     weighted = layout.join_table(table).withColumn("weight", F.col("p") * copies * prior)
-    return weighted.withColumn(
-        "share", ratio(F.col("weight"), F.sum("weight").over(layout.per_sentence_word())))
+    rivals = Window.partitionBy(*layout.group)
+    return weighted.withColumn("share", ratio(F.col("weight"), F.sum("weight").over(rivals)))
 
 
-def m_step(expected: DataFrame, layout: Layout, sums_fit: bool) -> DataFrame:
-    """New table from the expected counts ``nf * share``."""
-    amounts = expected.withColumn("_c", F.col("nf") * F.col("share"))
-    if layout.hot is not None:
-        # Complete per task already, as tasks own whole (word, salt) groups.
-        amounts = amounts.groupBy("f", "salt", "e").agg(F.sum("_c").alias("_c"))
-    counts = amounts.groupBy("e", "f").agg(F.sum("_c").alias("_c"))
-    if not sums_fit:
-        return normalize_rows(cut_lineage(counts), "_c")
-    sums = F.broadcast(counts.groupBy("e").agg(F.sum("_c").alias("_sum")))
-    return counts.join(sums, "e").select("e", "f", ratio(F.col("_c"), F.col("_sum")).alias("p"))
+def m_step(expected: DataFrame, layout: Layout) -> DataFrame:
+    """Expected counts ``nf * share`` per cell, to be normalised per source word."""
+    return layout.sum_cells(expected.withColumn("c", F.col("nf") * F.col("share")))
 
 
 def train(
@@ -155,15 +163,17 @@ def train(
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
         bags = with_null_word(sentence_bags(bitext), null).persist(StorageLevel.MEMORY_AND_DISK)
         counts = cut_lineage(cooccurrence_of_bags(bags))
-        n_cells, n_rows = counts.agg(F.count(F.lit(1)), F.count_distinct("e")).first()
-        sums_fit = fits_broadcast(n_rows, cell_bytes, broadcast_limit)
-        table = cut_lineage(normalize_rows(counts))
-        layout = plan_layout(bags, n_cells, cell_bytes, strategy, broadcast_limit, pairs_per_task)
-        for k in range(1, rounds + 1):
-            n_null = k + 1 if null_growth else 1
-            expected = e_step(layout, table, null, n_null)
-            table = cut_lineage(m_step(expected, layout, sums_fit))
-        layout.pairs.unpersist()
+        table = normalize_rows(counts)
+        if rounds > 0:
+            layout = plan_layout(
+                bags, counts.count(), cell_bytes, strategy, broadcast_limit, pairs_per_task)
+            for k in range(1, rounds + 1):
+                expected = e_step(layout, table, null, k + 1 if null_growth else 1)
+                sums = cut_lineage(m_step(expected, layout))
+                table = normalize_rows(layout.whole_cells(sums), "c")
+        table = cut_lineage(table)
+        if rounds > 0:
+            layout.pairs.unpersist()
         bags.unpersist()
     return table
 

@@ -114,7 +114,7 @@ def parse_pairs(pairs: DataFrame) -> DataFrame:
     """Words and ids of both lines. Pairs without an id get minus their number."""
     own = sgml_id(F.col("src_line"))
     return pairs.select(
-        F.when(own == -1, -F.col("pair_no")).otherwise(own.cast("long")).alias("sid"),
+        F.when(own == -1, -F.col("pair_no")).otherwise(own).alias("sid"),
         "source_idx", F.col("base").alias("source_file"), "line_no", "pair_no",
         sgml_words(F.col("src_line")).alias("src"),
         sgml_words(F.col("tgt_line")).alias("tgt"),

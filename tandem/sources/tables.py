@@ -57,7 +57,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("line"), F.col("source").alias("file"),
         F.concat(F.lit("<s snum="), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("> "),
-                 F.translate("text", "\n", " "), F.lit(" </s>")).alias("value"))
+                 F.translate("text", "\n\r", "  "), F.lit(" </s>")).alias("value"))
 
 
 def look_alike_gold(bitext: DataFrame) -> DataFrame:
