@@ -43,6 +43,8 @@ from tandem.session import (
 
 # Pairs per task of the cached layout: also bounds a task's share of the table.
 PAIRS_PER_TASK = 4_000_000
+# Part of the broadcast limit up to which `auto` broadcasts the table.
+AUTO_SHARE = 8
 # Target words per block: a very long sentence becomes several rows.
 BLOCK_WORDS = 256
 
@@ -54,34 +56,28 @@ class Layout:
     pairs: DataFrame
     group: list[str]
     n_tasks: int
+    owner: list[str] | None = None  # shuffle layout: what decides the task of a pair
     hot: DataFrame | None = None  # shuffle layout: target words cut into several groups
-    n_hot: int = 0
-
-    @property
-    def by_word(self) -> bool:
-        return self.hot is not None
 
     def join_table(self, table: DataFrame) -> DataFrame:
         """Pairs with the cells ``e, f, p`` of the table; pairs stay where they are."""
-        if not self.by_word:
+        if self.owner is None:
             return self.pairs.join(F.broadcast(table), ["e", "f"])  # size checked by plan_layout
-        if self.n_hot == 0:
-            copies = table.withColumn("salt", F.lit(0))
-        else:
+        copies = table
+        if self.hot is not None:
             cuts = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
             copies = table.join(F.broadcast(self.hot), "f", "left").select(
                 "e", "f", "p", F.explode(cuts).alias("salt"))
-        copies = copies.repartition(self.n_tasks, "f", "salt")
-        return self.pairs.join(copies.hint("shuffle_hash"), ["f", "salt", "e"])
+        copies = copies.repartition(self.n_tasks, *self.owner)
+        return self.pairs.join(copies.hint("shuffle_hash"), [*self.owner, "e"])
 
     def sum_cells(self, amounts: DataFrame) -> DataFrame:
         """``c`` per cell. Grouped by word, tasks own whole groups, so nothing moves yet."""
-        keys = ["f", "salt", "e"] if self.by_word else ["e", "f"]
-        return amounts.groupBy(*keys).agg(F.sum("c").alias("c"))
+        return amounts.groupBy(*(self.owner or ["f"]), "e").agg(F.sum("c").alias("c"))
 
     def whole_cells(self, sums: DataFrame) -> DataFrame:
         """``e, f, c`` after adding up the groups of the few words that were cut."""
-        if not self.by_word or self.n_hot == 0:
+        if self.hot is None:
             return sums.select("e", "f", "c")
         hot = F.broadcast(self.hot)
         cut = sums.join(hot, "f", "left_semi").groupBy("e", "f").agg(F.sum("c").alias("c"))
@@ -91,11 +87,16 @@ class Layout:
 def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str = "auto",
                 broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                 pairs_per_task: int = PAIRS_PER_TASK) -> Layout:
-    """Choose where pairs live. ``broadcast`` falls back to ``shuffle`` beyond the limit."""
+    """Choose where pairs live. ``broadcast`` falls back to ``shuffle`` beyond the limit.
+
+    ``auto`` broadcasts only a table well below the limit: the driver gathers and
+    ships it anew in every round, while the shuffle layout moves it once per round.
+    """
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark = bags.sparkSession
-    fits = fits_broadcast(n_cells, cell_bytes, broadcast_limit)
+    fits = fits_broadcast(
+        n_cells, cell_bytes, broadcast_limit // AUTO_SHARE if strategy == "auto" else broadcast_limit)
     weights = per_target_word(bags).groupBy("f").agg(F.sum(F.size("src")).alias("w"))
     total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     n_tasks = max(shuffle_partitions(spark), -(-total // pairs_per_task))
@@ -108,25 +109,25 @@ def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str =
             .select("sid", "len", "src", F.posexplode(chunks).alias("blk", "tgt"))
             .repartition(n_tasks, "sid", "blk")
         )
-        group = ["sid", "blk", "f"]
         pairs = explode_pairs(per_target_word(blocks, "blk"), "blk")
-        hot, n_hot = None, 0
+        group, owner, hot = ["sid", "blk", "f"], None, None
     else:
         # Words above 1/n of all pairs: fewer than n of them, cut into at most 2n groups.
         hot = cut_lineage(
             weights.filter(F.col("w") * n_tasks > total)
             .select("f", F.ceil(F.col("w") * n_tasks / F.lit(max(total, 1))).cast("int").alias("cuts")))
-        n_hot = hot.count()
-        group = ["f", "salt", "sid"]
-        salted = (
-            per_target_word(bags).join(F.broadcast(hot), "f", "left")
-            .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("sid"), F.col("cuts")), F.lit(0)).cast("int"))
-            .drop("cuts")
-            .repartition(n_tasks, "f", "salt")
-        )
-        pairs = explode_pairs(salted, "salt")
+        rows = per_target_word(bags)
+        if hot.isEmpty():
+            owner, hot = ["f"], None
+            pairs = explode_pairs(rows.repartition(n_tasks, *owner))
+        else:
+            owner = ["f", "salt"]
+            salt = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("cuts")), F.lit(0)).cast("int")
+            salted = rows.join(F.broadcast(hot), "f", "left").withColumn("salt", salt).drop("cuts")
+            pairs = explode_pairs(salted.repartition(n_tasks, *owner), "salt")
+        group = [*owner, "sid"]
     pairs = pairs.sortWithinPartitions(*group).persist(StorageLevel.MEMORY_AND_DISK)
-    return Layout(pairs, group, n_tasks, hot, n_hot)
+    return Layout(pairs, group, n_tasks, owner, hot)
 
 
 def e_step(layout: Layout, table: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
