@@ -25,15 +25,23 @@ def increment(table: DataFrame, cells: DataFrame, value: str = "n") -> DataFrame
     return merge_counts(table, cells, value=value)
 
 
-def normalize_rows(counts: DataFrame, value: str = "n", name: str = "p") -> DataFrame:
-    """Every row ``e`` divided by its sum.
+def row_sums(counts: DataFrame, value: str = "n") -> DataFrame:
+    """``e, sum``, materialised: small, and needed once per use of the counts.
 
-    Sums use partial aggregation, so a frequent ``e`` sends one number per task;
-    it is the small table of sums that travels to the counts.
+    Partial aggregation lets a frequent ``e`` send one number per task.
     """
-    sums = cut_lineage(counts.groupBy("e").agg(F.sum(value).alias("_sum")))
+    return cut_lineage(counts.groupBy("e").agg(F.sum(value).alias("sum")))
+
+
+def divide_rows(counts: DataFrame, sums: DataFrame, value: str = "n", name: str = "p") -> DataFrame:
+    """Counts over their row sum; the sums travel to the counts when they fit."""
     return lookup_join(counts, sums, ["e"]).select(
-        *CELL, ratio(F.col(value), F.col("_sum")).alias(name))
+        *CELL, ratio(F.col(value), F.col("sum")).alias(name))
+
+
+def normalize_rows(counts: DataFrame, value: str = "n", name: str = "p") -> DataFrame:
+    """Every row ``e`` divided by its sum."""
+    return divide_rows(counts, row_sums(counts, value), value, name)
 
 
 def lookup_cells(cells: DataFrame, table: DataFrame, value: str = "p") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tandem.constants import EM_ROUNDS
 from tandem.functions.model import position_prior, ratio
-from tandem.operators.counts import normalize_rows
+from tandem.operators.counts import divide_rows, normalize_rows, row_sums
 from tandem.operators.pairs import (
     cooccurrence_of_bags,
     explode_pairs,
@@ -59,17 +59,38 @@ class Layout:
     owner: list[str] | None = None  # shuffle layout: what decides the task of a pair
     hot: DataFrame | None = None  # shuffle layout: target words cut into several groups
 
-    def join_table(self, table: DataFrame) -> DataFrame:
-        """Pairs with the cells ``e, f, p`` of the table; pairs stay where they are."""
+    def bring(self, table: DataFrame) -> DataFrame:
+        """The cells ``e, f, p`` of a table, sent to where their pairs are."""
         if self.owner is None:
-            return self.pairs.join(F.broadcast(table), ["e", "f"])  # size checked by plan_layout
-        copies = table
+            return F.broadcast(table)  # size checked by plan_layout
         if self.hot is not None:
-            cuts = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
-            copies = table.join(F.broadcast(self.hot), "f", "left").select(
-                "e", "f", "p", F.explode(cuts).alias("salt"))
-        copies = copies.repartition(self.n_tasks, *self.owner)
-        return self.pairs.join(copies.hint("shuffle_hash"), [*self.owner, "e"])
+            table = self._copies(table, "p")
+        return table.repartition(self.n_tasks, *self.owner)
+
+    def _copies(self, table: DataFrame, value: str) -> DataFrame:
+        """Cells of a cut word once per group, all others once."""
+        cuts = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
+        return table.join(F.broadcast(self.hot), "f", "left").select(
+            "e", "f", value, F.explode(cuts).alias("salt"))
+
+    def in_place(self, cells: DataFrame) -> DataFrame:
+        """Cells of :meth:`sum_cells` with whole counts, next to their pairs.
+
+        Only cells of cut words move, to be added up over their groups.
+        """
+        if self.hot is None:
+            return cells
+        cut = cells.join(F.broadcast(self.hot), "f", "left_semi").groupBy("e", "f").agg(
+            F.sum("c").alias("whole"))
+        spread = self._copies(cut, "whole").repartition(self.n_tasks, *self.owner)
+        return cells.join(spread.hint("shuffle_hash"), [*self.owner, "e"], "left").withColumn(
+            "c", F.coalesce("whole", "c")).drop("whole")
+
+    def join_table(self, placed: DataFrame) -> DataFrame:
+        """Pairs with their cells; pairs stay where they are."""
+        if self.owner is None:
+            return self.pairs.join(placed, ["e", "f"])
+        return self.pairs.join(placed.hint("shuffle_hash"), [*self.owner, "e"])
 
     def sum_cells(self, amounts: DataFrame) -> DataFrame:
         """``c`` per cell. Grouped by word, tasks own whole groups, so nothing moves yet."""
@@ -130,19 +151,34 @@ def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str =
     return Layout(pairs, group, n_tasks, owner, hot)
 
 
-def e_step(layout: Layout, table: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
+def e_step(layout: Layout, placed: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
     """Pairs with ``share``: the part of one ``f`` token that goes to the ``e`` tokens."""
     is_null = F.col("e") == null
     prior = position_prior(is_null, F.col("len") + F.lit(n_null))
     copies = F.when(is_null, F.col("ne") * F.lit(n_null)).otherwise(F.col("ne"))
-    weighted = layout.join_table(table).withColumn("weight", F.col("p") * copies * prior)
+    weighted = layout.join_table(placed).withColumn("weight", F.col("p") * copies * prior)
     rivals = Window.partitionBy(*layout.group)
     return weighted.withColumn("share", ratio(F.col("weight"), F.sum("weight").over(rivals)))
 
 
 def m_step(expected: DataFrame, layout: Layout) -> DataFrame:
-    """Expected counts ``nf * share`` per cell, to be normalised per source word."""
-    return layout.sum_cells(expected.withColumn("c", F.col("nf") * F.col("share")))
+    """Expected counts ``nf * share`` per cell, to be normalised per source word.
+
+    Adaptive execution is off for this one job: with it, a checkpoint forgets how
+    its rows are distributed, and the next round would have to move them.
+    """
+    cells = layout.sum_cells(expected.withColumn("c", F.col("nf") * F.col("share")))
+    with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false"):
+        return cut_lineage(cells)
+
+
+def place_next(layout: Layout, cells: DataFrame, sums: DataFrame, sum_bytes: int,
+               broadcast_limit: int) -> DataFrame:
+    """The normalised table for the next round, next to the pairs."""
+    if layout.owner is None or not fits_broadcast(sums.count(), sum_bytes, broadcast_limit):
+        return layout.bring(divide_rows(layout.whole_cells(cells), sums, "c"))
+    return layout.in_place(cells).join(F.broadcast(sums), "e").select(
+        *layout.owner, "e", ratio(F.col("c"), F.col("sum")).alias("p"))
 
 
 def train(
@@ -168,10 +204,12 @@ def train(
         if rounds > 0:
             layout = plan_layout(
                 bags, counts.count(), cell_bytes, strategy, broadcast_limit, pairs_per_task)
+            placed = layout.bring(table)
             for k in range(1, rounds + 1):
-                expected = e_step(layout, table, null, k + 1 if null_growth else 1)
-                sums = cut_lineage(m_step(expected, layout))
-                table = normalize_rows(layout.whole_cells(sums), "c")
+                cells = m_step(e_step(layout, placed, null, k + 1 if null_growth else 1), layout)
+                sums = row_sums(layout.whole_cells(cells), "c")
+                placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
+            table = divide_rows(layout.whole_cells(cells), sums, "c")
         table = cut_lineage(table)
         if rounds > 0:
             layout.pairs.unpersist()
@@ -187,7 +225,7 @@ def posterior(bitext: DataFrame, table: DataFrame, strategy: str = "auto",
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
         bags = with_null_word(sentence_bags(bitext), null)
         layout = plan_layout(bags, table.count(), row_bytes(bitext), strategy, broadcast_limit)
-        shares = e_step(layout, table, null).select("sid", "e", "f", "ne", "nf", "share")
+        shares = e_step(layout, layout.bring(table.select("e", "f", "p")), null).select("sid", "e", "f", "ne", "nf", "share")
         result = cut_lineage(shares)
         layout.pairs.unpersist()
     return result

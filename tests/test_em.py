@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators.em import plan_layout, e_step, m_step, train
+from tandem.operators.counts import row_sums
+from tandem.operators.em import e_step, m_step, place_next, plan_layout, train
 from tandem.operators.pairs import (
     cooccurrence, null_token, sentence_bags, with_null_word)
 from tandem.session import session_conf
@@ -83,33 +84,59 @@ def test_cooccurrence_counts_tokens(spark):
     assert got == {(1, 7): 4, (2, 7): 2, (0, 7): 2}
 
 
-def round_plan(spark, **options):
-    """Executed plan of one round after the pairs are cached."""
+def without_cached(plan):
+    """Plan lines outside the cached pairs."""
+    kept, skip = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if skip is not None and depth > skip:
+            continue
+        skip = depth if "InMemoryRelation" in line else None
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def round_plans(spark, **options):
+    """Executed plans of the first two rounds, without what made the cached pairs."""
     bitext = frame(spark, random_bitext(5, n=200))
     with session_conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false",
                       spark__sql__adaptive__enabled="false"):
         null = null_token(bitext)
         bags = with_null_word(sentence_bags(bitext), null).persist()
-        table = spark.createDataFrame([(1, 1, 0.5)], "e int, f int, p double").repartition(3)
         layout = plan_layout(bags, 100, 64, **options)
         layout.pairs.count()
-        plan = m_step(e_step(layout, table, null), layout)._jdf.queryExecution().executedPlan().toString()
+        placed = layout.bring(train(bitext, 0).repartition(3))
+        plans = []
+        for _ in range(2):
+            expected = e_step(layout, placed, null)
+            plans.append(expected.groupBy(*(layout.owner or ["f"]), "e").agg(F.sum("share"))
+                         ._jdf.queryExecution().executedPlan().toString())
+            cells = m_step(expected, layout)
+            placed = place_next(layout, cells, row_sums(layout.whole_cells(cells), "c"), 64, 1 << 20)
         layout.pairs.unpersist()
         bags.unpersist()
-    return plan.split("InMemoryRelation")[0], plan
+    return layout, [without_cached(p) for p in plans]
+
+
+def test_shuffle_rounds_move_nothing_but_small_sums(spark):
+    layout, (first, second) = round_plans(spark, strategy="shuffle")
+    assert layout.hot is None
+    assert first.count("Exchange hashpartitioning") == 1  # the initial table
+    assert second.count("Exchange hashpartitioning") == 0
+    assert "Sort " not in first + second
+    assert "ShuffledHashJoin" in second
 
 
-@pytest.mark.parametrize("per_task", [4_000_000, 100])
-def test_shuffle_round_moves_only_the_table(spark, per_task):
-    before_cache, plan = round_plan(spark, strategy="shuffle", pairs_per_task=per_task)
-    # Between the result and the cached pairs: no exchange, no sort.
-    assert "Exchange" not in before_cache
-    assert "Sort" not in before_cache
-    assert "ShuffledHashJoin" in before_cache
+def test_shuffle_rounds_move_only_cells_of_cut_words(spark):
+    layout, (_, second) = round_plans(spark, strategy="shuffle", pairs_per_task=500)
+    assert layout.hot is not None and layout.owner == ["f", "salt"]
+    # Adding up the groups of cut words, and sending the totals back.
+    assert second.count("Exchange hashpartitioning") == 2
+    assert "Sort " not in second
 
 
-def test_broadcast_round_shuffles_only_sums(spark):
-    before_cache, _ = round_plan(spark, strategy="broadcast")
-    assert before_cache.count("Exchange hashpartitioning") == 1
-    assert "Sort" not in before_cache
-    assert "BroadcastHashJoin" in before_cache
+def test_broadcast_rounds_shuffle_only_counts(spark):
+    _, (_, second) = round_plans(spark, strategy="broadcast")
+    assert second.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
+    assert "Sort " not in second
+    assert "BroadcastHashJoin" in second
