@@ -12,13 +12,14 @@ OPEN_TAG = "<s"
 CLOSE_TAG = "</s>"
 ID_PREFIX = "snum="
 _ID_PATTERN = r"snum=(-?\d+)>"
-_PREFIX_PATTERN = r"^(<s\s+snum=-?\d+>\s)"
-_SUFFIX_PATTERN = r"(\s</s>)$"
+_PREFIX_PATTERN = r"^<s\s+snum=-?\d+>\s"
+_SUFFIX_PATTERN = r"^\s</s>$"
+_SUFFIX_CHARS = 5
 
 
 def split_spaces(line: Column) -> Column:
     """Split on single blanks: inner repeats give empty words, trailing ones none."""
-    body = F.regexp_replace(line, r" +$", "")
+    body = F.rtrim(line)
     only_blanks = (body == "") & (line != "")
     return F.when(only_blanks, F.array().cast("array<string>")).otherwise(F.split(body, " "))
 
@@ -56,20 +57,23 @@ def sgml_words(line: Column) -> Column:
 
 
 def has_envelope(line: Column) -> Column:
-    return line.rlike(_PREFIX_PATTERN) & line.rlike(_SUFFIX_PATTERN)
+    """Tags on both ends; plain lines are told apart without a pattern match."""
+    return (line.startswith(OPEN_TAG) & line.endswith(CLOSE_TAG)
+            & F.right(line, F.lit(_SUFFIX_CHARS)).rlike(_SUFFIX_PATTERN) & line.rlike(_PREFIX_PATTERN))
 
 
 def envelope_prefix(line: Column) -> Column:
-    return F.when(has_envelope(line), F.regexp_extract(line, _PREFIX_PATTERN, 1)).otherwise("")
+    return F.when(has_envelope(line), F.regexp_extract(line, _PREFIX_PATTERN, 0)).otherwise("")
 
 
 def envelope_suffix(line: Column) -> Column:
-    return F.when(has_envelope(line), F.regexp_extract(line, _SUFFIX_PATTERN, 1)).otherwise("")
+    return F.when(has_envelope(line), F.right(line, F.lit(_SUFFIX_CHARS))).otherwise("")
 
 
 def envelope_body(line: Column) -> Column:
-    stripped = F.regexp_replace(F.regexp_replace(line, _PREFIX_PATTERN, ""), _SUFFIX_PATTERN, "")
-    return F.when(has_envelope(line), stripped).otherwise(line)
+    start = F.length(F.regexp_extract(line, _PREFIX_PATTERN, 0))
+    inner = F.substring(line, start + 1, F.length(line) - start - _SUFFIX_CHARS)
+    return F.when(has_envelope(line), inner).otherwise(line)
 
 
 def numbered_words(words: Column) -> Column:

@@ -71,6 +71,16 @@ def fits_broadcast(n_rows: int, row_bytes: int = FIXED_ROW_BYTES,
     return n_rows * row_bytes <= limit
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out the rows of an input with fewer splits than cores.
+
+    Costs a shuffle of something small; a large input has splits enough and is
+    returned as it is. ``scan`` must be a plain read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
     """Set SQL options for the plans made inside the block, then restore them.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import words_lower
 from tandem.operators.links import build_links
+from tandem.session import spread
 
 # A sentence id is conversation * TURNS + turn.
 TURNS = 1_000_000
@@ -43,7 +44,7 @@ def held_out_bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring lines of every document; ``sid`` is document * TURNS + line."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("l"))
     neighbours = F.arrays_zip(
         F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"),
         F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("b"))
@@ -54,7 +55,7 @@ def document_bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one line in its sentence envelope: ``line, file, value``."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         F.col("doc_id").alias("line"), F.col("source").alias("file"),
         F.concat(F.lit("<s snum="), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("> "),
                  F.translate("text", "\n\r", "  "), F.lit(" </s>")).alias("value"))
