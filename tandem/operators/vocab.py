@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tandem.operators.joins import lookup_join
 from tandem.operators.order import running_total, with_global_index
+from tandem.session import (
+    BROADCAST_LIMIT_BYTES, TEXT_ROW_BYTES, cut_lineage, fits_broadcast, shuffle_partitions)
 
 # Source side first, then the target side, as two files one after the other.
 _TGT_LINE = 1 << 62
@@ -46,6 +48,20 @@ def first_seen_vocab(lines: DataFrame, words: Column, line: str = "line") -> Dat
     )
 
 
+def _vocab_fits(vocab: DataFrame, broadcast_limit: int | None) -> bool:
+    limit = BROADCAST_LIMIT_BYTES if broadcast_limit is None else broadcast_limit
+    return fits_broadcast(vocab.count(), TEXT_ROW_BYTES, limit)
+
+
+def _by_row(rows: DataFrame, key: str, fits: bool) -> DataFrame:
+    """Rows spread by their key, when their tokens will stay with them.
+
+    With a broadcast vocabulary this is the only shuffle: it moves compact rows,
+    and the tokens are looked up and put together again where they are.
+    """
+    return rows.repartition(shuffle_partitions(rows.sparkSession), key) if fits else rows
+
+
 def encode_lines(lines: DataFrame, words: Column, vocab: DataFrame, line: str = "line",
                  broadcast_limit: int | None = None) -> DataFrame:
     """``line, ids``: words replaced by their ids, in order.
@@ -53,7 +69,8 @@ def encode_lines(lines: DataFrame, words: Column, vocab: DataFrame, line: str =
     A frequent word would draw all its tokens to one task of a shuffled join;
     :func:`lookup_join` avoids that when the vocabulary is too big to broadcast.
     """
-    tokens = line_words(lines, words, line)
+    fits = _vocab_fits(vocab, broadcast_limit)
+    tokens = line_words(_by_row(lines, line, fits), words, line)
     looked_up = lookup_join(tokens, vocab, ["word"], broadcast_limit=broadcast_limit)
     grouped = looked_up.groupBy("line").agg(
         F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_t"))
@@ -63,10 +80,14 @@ def encode_lines(lines: DataFrame, words: Column, vocab: DataFrame, line: str =
 def encode_bitext(bitext: DataFrame, vocab: DataFrame,
                   broadcast_limit: int | None = None) -> DataFrame:
     """The bitext with ids instead of words; words outside the vocabulary get -1."""
-    tokens = bitext.select("sid", F.explode(F.concat(
-        F.transform("src", lambda w, i: F.struct(F.lit(False).alias("t"), i.alias("pos"), w.alias("word"))),
-        F.transform("tgt", lambda w, i: F.struct(F.lit(True).alias("t"), i.alias("pos"), w.alias("word"))),
-    )).alias("x")).select("sid", "x.t", "x.pos", "x.word")
+    def side(column: str, is_tgt: bool) -> Column:
+        return F.transform(column, lambda w, i: F.struct(
+            F.lit(is_tgt).alias("t"), i.alias("pos"), w.alias("word")))
+
+    rows = _by_row(bitext, "sid", _vocab_fits(vocab, broadcast_limit))
+    tokens = rows.select(
+        "sid", F.explode(F.concat(side("src", False), side("tgt", True))).alias("x")
+    ).select("sid", "x.t", "x.pos", "x.word")
     ids = lookup_join(tokens, vocab, ["word"], how="left", broadcast_limit=broadcast_limit)
     item = F.struct("pos", F.coalesce("id", F.lit(-1)).cast("int").alias("id"))
     sides = ids.groupBy("sid").agg(
@@ -81,11 +102,14 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 
 
 def vocab_growth(tokens: DataFrame, file: str = "file", word: str = "word") -> DataFrame:
-    """Distinct words after each file, files in order: ``file, n_new, n_words``."""
+    """Distinct words after each file, files in order: ``file, n_new, n_words``.
+
+    ``file`` should be a number: its minimum is then a hash aggregation.
+    """
     new_words = (
         tokens.groupBy(word).agg(F.min(file).alias("file"))
         .groupBy("file").agg(F.count(F.lit(1)).alias("n_new")))
     files = tokens.select(F.col(file).alias("file")).distinct()
     counted = files.join(new_words, "file", "left").select(
         "file", F.coalesce("n_new", F.lit(0)).alias("n_new"))
-    return running_total(counted, "file", "n_new", "n_words")
+    return running_total(cut_lineage(counted), "file", "n_new", "n_words")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.text import envelope_body, split_spaces
-from tandem.operators.vocab import first_seen_vocab, line_words, vocab_growth
+from tandem.operators.joins import lookup_join
+from tandem.operators.order import with_global_index
+from tandem.operators.vocab import first_seen_vocab, vocab_growth
 from tandem.session import cut_lineage
 from tandem.sinks.text import encoded_lines, write_encoded, write_vocab
 from tandem.sources.lines import number_lines, read_lines
@@ -26,9 +28,12 @@ def encode_corpus(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def corpus_growth(lines: DataFrame, file: str = "file") -> DataFrame:
-    """Vocabulary size after each file."""
-    tokens = lines.select(file, F.explode(F.array_distinct(corpus_words())).alias("word"))
-    return vocab_growth(tokens, file)
+    """Vocabulary size after each file, files in the order of their names or numbers."""
+    ranks = with_global_index(lines.select(F.col(file).alias("file")).distinct(), "file", name="_rank")
+    ranked = lookup_join(lines.withColumnRenamed(file, "file"), ranks, ["file"])
+    tokens = ranked.select("_rank", F.explode(F.array_distinct(corpus_words())).alias("word"))
+    growth = vocab_growth(tokens, "_rank").withColumnRenamed("file", "_rank")
+    return ranks.join(growth, "_rank").select("file", "n_new", "n_words")
 
 
 def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -43,9 +48,9 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
     for row in counts.orderBy("file").collect():  # one row per path given by the caller
         starts[row["file"]] = start
         start += row["n"]
-    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else None
-    if base is None:
+    if not starts:
         return read.select(F.col("ordinal").alias("line"), "file", "value")
+    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
     return read.select((base[F.col("file")] + F.col("ordinal")).alias("line"), "file", "value")
 
 
@@ -61,6 +66,3 @@ def encode_files(spark: SparkSession, dictionary: str, paths: list[str]) -> Data
         write_encoded(by_file.filter(F.col("file") == idx), f"{path}.out")
     write_vocab(vocab, dictionary)
     return corpus_growth(lines)
-
-
-__all__ = ["corpus_growth", "corpus_words", "encode_corpus", "encode_files", "line_words", "read_corpus"]
