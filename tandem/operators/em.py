@@ -5,12 +5,12 @@ word) with their multiplicities. Pairs are laid out once, cached sorted, and
 never move again; a round only moves the table, which is smaller.
 
 * ``broadcast``: pairs grouped by sentence block, the table goes to every task.
-* ``shuffle``: pairs grouped by target word; a target word with a large share of
+* ``shuffle``: pairs grouped by target word, and the table with them; a target word with a large share of
   all pairs is cut into several groups, and its column of the table is copied to
   each. Needs no table to fit anywhere.
 
-Both give the same result. The number of cells is fixed after the first count,
-so one size check decides for all rounds.
+Both give the same result. No round adds a cell, so one size check decides for
+all rounds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tandem.constants import EM_ROUNDS
 from tandem.functions.model import position_prior, ratio
-from tandem.operators.counts import divide_rows, normalize_rows, row_sums
+from tandem.operators.counts import divide_rows, row_sums
 from tandem.operators.pairs import (
     cooccurrence_of_bags,
     explode_pairs,
@@ -105,23 +105,28 @@ class Layout:
         return sums.join(hot, "f", "left_anti").select("e", "f", "c").unionByName(cut)
 
 
-def plan_layout(bags: DataFrame, n_cells: int, cell_bytes: int, strategy: str = "auto",
-                broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+def plan_layout(bags: DataFrame, cell_bytes: int, strategy: str = "auto",
+                n_cells: int | None = None, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
                 pairs_per_task: int = PAIRS_PER_TASK) -> Layout:
     """Choose where pairs live. ``broadcast`` falls back to ``shuffle`` beyond the limit.
 
-    ``auto`` broadcasts only a table well below the limit: the driver gathers and
-    ships it anew in every round, while the shuffle layout moves it once per round.
+    Without ``n_cells`` the number of pairs bounds the table; only when that bound
+    is too large and a broadcast was asked for are the cells counted. ``auto``
+    broadcasts only a table well below the limit: the driver gathers and ships it
+    anew in every round, while the shuffle layout leaves it in place.
     """
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError(f"unknown strategy {strategy!r}")
     spark = bags.sparkSession
-    fits = fits_broadcast(
-        n_cells, cell_bytes, broadcast_limit // AUTO_SHARE if strategy == "auto" else broadcast_limit)
     weights = per_target_word(bags).groupBy("f").agg(F.sum(F.size("src")).alias("w"))
     total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     n_tasks = max(shuffle_partitions(spark), -(-total // pairs_per_task))
-    if fits and strategy != "shuffle":
+    limit = broadcast_limit // AUTO_SHARE if strategy == "auto" else broadcast_limit
+    fits = strategy != "shuffle" and fits_broadcast(
+        total if n_cells is None else n_cells, cell_bytes, limit)
+    if not fits and strategy == "broadcast" and n_cells is None:
+        fits = fits_broadcast(cooccurrence_of_bags(bags).count(), cell_bytes, limit)
+    if fits:
         chunks = F.transform(
             F.sequence(F.lit(0), F.floor((F.size("tgt") - 1) / BLOCK_WORDS).cast("int")),
             lambda i: F.slice("tgt", i * BLOCK_WORDS + 1, BLOCK_WORDS))
@@ -161,15 +166,26 @@ def e_step(layout: Layout, placed: DataFrame, null: Column, n_null: int = 1) ->
     return weighted.withColumn("share", ratio(F.col("weight"), F.sum("weight").over(rivals)))
 
 
-def m_step(expected: DataFrame, layout: Layout) -> DataFrame:
-    """Expected counts ``nf * share`` per cell, to be normalised per source word.
+def _settle(layout: Layout, amounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums of ``c`` per cell, where the pairs are, and per source word.
 
-    Adaptive execution is off for this one job: with it, a checkpoint forgets how
+    Adaptive execution is off for the first job: with it, a checkpoint forgets how
     its rows are distributed, and the next round would have to move them.
     """
-    cells = layout.sum_cells(expected.withColumn("c", F.col("nf") * F.col("share")))
+    cells = layout.sum_cells(amounts)
     with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false"):
-        return cut_lineage(cells)
+        cells = cut_lineage(cells)
+    return cells, row_sums(layout.whole_cells(cells), "c")
+
+
+def initial_counts(layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """Co-occurrence counts of the pairs."""
+    return _settle(layout, layout.pairs.withColumn("c", (F.col("ne") * F.col("nf")).cast("double")))
+
+
+def m_step(expected: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """Expected counts ``nf * share``, to be normalised per source word."""
+    return _settle(layout, expected.withColumn("c", F.col("nf") * F.col("share")))
 
 
 def place_next(layout: Layout, cells: DataFrame, sums: DataFrame, sum_bytes: int,
@@ -199,20 +215,14 @@ def train(
     with session_conf(spark,
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
         bags = with_null_word(sentence_bags(bitext), null).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = cut_lineage(cooccurrence_of_bags(bags))
-        table = normalize_rows(counts)
-        if rounds > 0:
-            layout = plan_layout(
-                bags, counts.count(), cell_bytes, strategy, broadcast_limit, pairs_per_task)
-            placed = layout.bring(table)
-            for k in range(1, rounds + 1):
-                cells = m_step(e_step(layout, placed, null, k + 1 if null_growth else 1), layout)
-                sums = row_sums(layout.whole_cells(cells), "c")
-                placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
-            table = divide_rows(layout.whole_cells(cells), sums, "c")
-        table = cut_lineage(table)
-        if rounds > 0:
-            layout.pairs.unpersist()
+        layout = plan_layout(bags, cell_bytes, strategy, None, broadcast_limit, pairs_per_task)
+        cells, sums = initial_counts(layout)
+        for k in range(1, rounds + 1):
+            placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
+            expected = e_step(layout, placed, null, k + 1 if null_growth else 1)
+            cells, sums = m_step(expected, layout)
+        table = cut_lineage(divide_rows(layout.whole_cells(cells), sums, "c"))
+        layout.pairs.unpersist()
         bags.unpersist()
     return table
 
@@ -224,7 +234,7 @@ def posterior(bitext: DataFrame, table: DataFrame, strategy: str = "auto",
     with session_conf(bitext.sparkSession,
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
         bags = with_null_word(sentence_bags(bitext), null)
-        layout = plan_layout(bags, table.count(), row_bytes(bitext), strategy, broadcast_limit)
+        layout = plan_layout(bags, row_bytes(bitext), strategy, table.count(), broadcast_limit)
         shares = e_step(layout, layout.bring(table.select("e", "f", "p")), null).select("sid", "e", "f", "ne", "nf", "share")
         result = cut_lineage(shares)
         layout.pairs.unpersist()
