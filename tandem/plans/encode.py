@@ -61,7 +61,7 @@ def encode_files(spark: SparkSession, dictionary: str, paths: list[str]) -> Data
     """
     lines = cut_lineage(read_corpus(spark, paths))
     vocab, encoded = encode_corpus(lines)
-    by_file = encoded.join(lines.select("line", "file"), "line")
+    by_file = cut_lineage(encoded.join(lines.select("line", "file"), "line"))
     for idx, path in enumerate(paths):
         write_encoded(by_file.filter(F.col("file") == idx), f"{path}.out")
     write_vocab(vocab, dictionary)
