@@ -120,7 +120,9 @@ def plan_layout(bags: DataFrame, cell_bytes: int, strategy: str = "auto",
     spark = bags.sparkSession
     weights = per_target_word(bags).groupBy("f").agg(F.sum(F.size("src")).alias("w"))
     total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    n_tasks = max(shuffle_partitions(spark), -(-total // pairs_per_task))
+    # By data size; at least one task per core, unless fewer were asked for.
+    n_tasks = max(min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism),
+                  -(-total // pairs_per_task))
     limit = broadcast_limit // AUTO_SHARE if strategy == "auto" else broadcast_limit
     fits = strategy != "shuffle" and fits_broadcast(
         total if n_cells is None else n_cells, cell_bytes, limit)
@@ -173,7 +175,8 @@ def _settle(layout: Layout, amounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     its rows are distributed, and the next round would have to move them.
     """
     cells = layout.sum_cells(amounts)
-    with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false"):
+    with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false",
+                      spark__sql__shuffle__partitions=str(layout.n_tasks)):
         cells = cut_lineage(cells)
     return cells, row_sums(layout.whole_cells(cells), "c")
 
