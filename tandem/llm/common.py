@@ -62,7 +62,7 @@ def task_count(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
     ``bytes_each`` of stored input, by the optimizer's estimate, go to one task.
     """
     size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(max(shuffle_partitions(docs.sparkSession), -(-int(size.toString()) // bytes_each)), 100_000)
+    return min(max(shuffle_partitions(docs.sparkSession), -(-int(str(size)) // bytes_each)), 100_000)
 
 
 def ordered_buckets(docs: DataFrame, buckets: int) -> tuple[DataFrame, int]:

@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, exact, packing, sharding
+from tandem.llm import bpe, exact, fingerprints, idfiles, packing, sharding, simhash
 from tandem.llm.common import ID, read_table
+from tandem.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +69,25 @@ def op2_byte_bpe(spark, sf_dir):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_id_files(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    shards = idfiles.write(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return idfiles.read(spark, path, shards).select(
+        ID, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_weighted_fingerprints(spark, sf_dir):
+    return fingerprints.edited(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    return simhash.components(read_table(spark, sf_dir, "documents")).select(
+        ID, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_kd_shards(spark, sf_dir):
     return sharding.shard(read_table(spark, sf_dir, "documents"), 40).select(

@@ -15,7 +15,7 @@ import numpy as np
 #: A run of white space may be matched across a cut, so such texts go in whole.
 RUN = re.compile(r"\s\s")
 LONGEST_CACHED = 48
-MOST_CACHED = 400_000
+MOST_CACHED = 1_000_000
 
 _CODERS: dict[tuple[str, bool], "Coder"] = {}
 
