@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, exact, fingerprints, idfiles, packing, sharding, simhash
+from tandem.llm import (
+    bpe, exact, fingerprints, idfiles, packing, quality, sharding, simhash, toxicity)
 from tandem.llm.common import ID, read_table
 from tandem.session import scratch_path
 
@@ -82,6 +83,11 @@ def op4_weighted_fingerprints(spark, sf_dir):
     return fingerprints.edited(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_quality(spark, sf_dir):
+    return quality.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_simhash(spark, sf_dir):
     return simhash.components(read_table(spark, sf_dir, "documents")).select(
@@ -100,6 +106,11 @@ def op9_exact_dedup(spark, sf_dir):
     return exact.mark(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
