@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import (
-    bpe, exact, fingerprints, idfiles, packing, quality, sharding, simhash, toxicity)
+    bpe, brown, exact, fingerprints, idfiles, packing, quality, sharding, simhash, toxicity)
 from tandem.llm.common import ID, read_table
 from tandem.session import scratch_path
 
@@ -101,6 +101,11 @@ def op7_kd_shards(spark, sf_dir):
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op8_brown_classes(spark, sf_dir):
+    return brown.scores(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact.mark(read_table(spark, sf_dir, "documents"))
