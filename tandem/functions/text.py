@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 OPEN_TAG = "<s"
 CLOSE_TAG = "</s>"
 ID_PREFIX = "snum="
-_ID_PATTERN = r"snum=(-?\d+)>"
+_ID_PATTERN = r"(?:^|\s)snum=(-?\d+)>(?=\s|$)"
+_ID_TOKEN = r"^snum=-?\d+>$"
 _PREFIX_PATTERN = r"^<s\s+snum=-?\d+>\s"
 _SUFFIX_PATTERN = r"^\s</s>$"
 _SUFFIX_CHARS = 5
@@ -50,10 +51,14 @@ def sgml_id(line: Column) -> Column:
 
 
 def sgml_words(line: Column) -> Column:
-    """Words of a line without the sentence tags and the id token."""
+    """Words of a line without the sentence tags and the id token.
+
+    A word glued to the tag makes no id token, so the line is not taken as tagged
+    and all of it stays.
+    """
     return F.filter(
         split_whitespace(line),
-        lambda w: (w != OPEN_TAG) & (w != CLOSE_TAG) & ~w.startswith(ID_PREFIX))
+        lambda w: (w != OPEN_TAG) & (w != CLOSE_TAG) & ~w.rlike(_ID_TOKEN))
 
 
 def has_envelope(line: Column) -> Column:

@@ -87,7 +87,8 @@ def short_input_report(df: DataFrame, offset: int) -> DataFrame:
 
 
 def take_first(df: DataFrame, *order_by: str, n: int) -> DataFrame:
-    return skip_take(df, *order_by, limit=n)
+    """The first ``n`` rows in order: every task keeps its own first ``n`` only."""
+    return df.orderBy(*order_by).limit(n)
 
 
 def take_per_partition(df: DataFrame, n: int) -> DataFrame:

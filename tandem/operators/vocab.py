@@ -20,9 +20,13 @@ def line_words(lines: DataFrame, words: Column, line: str = "line") -> DataFrame
 
 
 def bitext_lines(bitext: DataFrame) -> DataFrame:
-    """Both sides of a bitext as lines in first-seen order: ``line, words``."""
-    return bitext.select(F.col("sid").alias("line"), F.col("src").alias("words")).unionByName(
-        bitext.select((F.col("sid") + F.lit(_TGT_LINE)).alias("line"), F.col("tgt").alias("words")))
+    """Both sides of a bitext as lines in first-seen order: ``line, words``.
+
+    Pairs count in reading order, ``pair_no``, if they have it, else by ``sid``.
+    """
+    order = F.col("pair_no" if "pair_no" in bitext.columns else "sid")
+    return bitext.select(order.alias("line"), F.col("src").alias("words")).unionByName(
+        bitext.select((order + F.lit(_TGT_LINE)).alias("line"), F.col("tgt").alias("words")))
 
 
 def first_seen(lines: DataFrame, words: Column, line: str = "line") -> DataFrame:
@@ -84,13 +88,21 @@ def encode_bitext(bitext: DataFrame, vocab: DataFrame,
         return F.transform(column, lambda w, i: F.struct(
             F.lit(is_tgt).alias("t"), i.alias("pos"), w.alias("word")))
 
-    rows = _by_row(bitext, "sid", _vocab_fits(vocab, broadcast_limit))
+    def known(column: str) -> Column:
+        """A NULL side counts as empty."""
+        return F.coalesce(column, F.array().cast("array<string>"))
+
+    # a number of its own keeps pairs of one sid apart; it is fixed by writing it down
+    keyed = cut_lineage(bitext.select(
+        F.monotonically_increasing_id().alias("_pair"), "sid", known("src").alias("src"), known("tgt").alias("tgt")))
+    rows = _by_row(keyed, "_pair", _vocab_fits(vocab, broadcast_limit))
     tokens = rows.select(
-        "sid", F.explode(F.concat(side("src", False), side("tgt", True))).alias("x")
-    ).select("sid", "x.t", "x.pos", "x.word")
+        "_pair", "sid", F.explode_outer(F.concat(side("src", False), side("tgt", True))).alias("x")
+    ).select("_pair", "sid", "x.t", "x.pos", "x.word")
     ids = lookup_join(tokens, vocab, ["word"], how="left", broadcast_limit=broadcast_limit)
     item = F.struct("pos", F.coalesce("id", F.lit(-1)).cast("int").alias("id"))
-    sides = ids.groupBy("sid").agg(
+    # of a pair without words, the one token is NULL and belongs to no side
+    sides = ids.groupBy("_pair", "sid").agg(
         F.array_sort(F.collect_list(F.when(~F.col("t"), item))).alias("src"),
         F.array_sort(F.collect_list(F.when(F.col("t"), item))).alias("tgt"))
     return sides.select("sid", F.transform("src", lambda x: x["id"]).alias("src"),

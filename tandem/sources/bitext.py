@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tandem.constants import SRC_EXT, TGT_EXT
 from tandem.functions.text import sgml_id, sgml_words, split_single_whitespace
 from tandem.operators.order import skip_take
 from tandem.session import TEXT_ROW_BYTES, fits_broadcast
-from tandem.sources.lines import number_lines, read_lines
+from tandem.sources.lines import accepted, number_lines, read_lines
 
 
 # --- one file of `e e e | f f f` lines of ids -------------------------------
@@ -41,9 +43,15 @@ def parse_pipe(lines: DataFrame) -> DataFrame:
 
 
 def read_pipe_bitext(spark: SparkSession, paths: str | list[str],
-                     max_per_split: int | None = None) -> DataFrame:
-    """``sid, src array<int>, tgt array<int>``; fields after the second are ignored."""
-    return parse_pipe(pipe_lines(spark, paths, max_per_split)).filter("ok").select("sid", "src", "tgt")
+                     max_per_split: int | None = None, strict: bool = True) -> DataFrame:
+    """``sid, src array<int>, tgt array<int>``; fields after the second are ignored.
+
+    A malformed line is an error, or left out if not ``strict``.
+    """
+    return accepted(parse_pipe(pipe_lines(spark, paths, max_per_split)), F.col("ok"),
+                    # names the line by number, so that lines left out by max_per_split are not judged
+                    F.concat(F.lit("bad pair line "), F.col("sid").cast("string"), F.lit(": "), F.col("value")),
+                    strict).select("sid", "src", "tgt")
 
 
 def pipe_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -59,7 +67,7 @@ def side_lines(spark: SparkSession, sources: str | list[str], ext: str) -> DataF
     ``base.ext`` may be a file or a directory of part files; ``.gz`` may follow.
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
-    pattern = rf"^(.*)\.{ext}(?:\.gz)?(?:/[^/]*)?$"
+    pattern = rf"^(.*)\.{re.escape(ext)}(?:\.gz)?(?:/part-[^/]*)?$"
     read = None
     for idx, source in enumerate(sources):
         numbered = number_lines(read_lines(spark, source, pattern), pattern).select(
@@ -123,7 +131,7 @@ def parse_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def id_mismatches(parsed: DataFrame) -> DataFrame:
-    """Pairs whose two lines carry different ids; readers leave them out."""
+    """Pairs whose two lines carry different ids; see ``strict`` of the readers."""
     return parsed.filter("src_id <> tgt_id").select(
         "source_file", "line_no", "src_id", "tgt_id")
 
@@ -138,6 +146,11 @@ def accept_pairs(bitext: DataFrame, where: Column | str | None = None) -> DataFr
     return bitext if where is None else bitext.filter(where)
 
 
+def _same_ids(parsed: DataFrame, strict: bool) -> DataFrame:
+    return accepted(parsed, F.col("src_id") == F.col("tgt_id"), F.concat(
+        F.lit("ids differ in "), F.col("source_file"), F.lit(", line "), F.col("line_no").cast("string")), strict)
+
+
 def read_paired_bitext(
     spark: SparkSession,
     sources: str | list[str],
@@ -146,18 +159,20 @@ def read_paired_bitext(
     where: Column | str | None = None,
     offset: int = 0,
     limit: int | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Pairs of all ``base.src_ext`` / ``base.tgt_ext`` of the source directories.
 
     Sources are read in the given order, their files in name order. ``where``
-    sees the parsed columns; ``offset`` and ``limit`` count accepted pairs.
+    sees the parsed columns; ``offset`` and ``limit`` count accepted pairs. A pair
+    whose lines carry unlike ids is an error, or left out if not ``strict``.
     """
     parsed = parse_pairs(paired_lines(
         side_lines(spark, sources, src_ext), side_lines(spark, sources, tgt_ext)))
-    kept = accept_pairs(parsed.filter("src_id = tgt_id"), where)
+    kept = accept_pairs(_same_ids(parsed, strict), where)
     if offset or limit is not None:
         kept = skip_take(kept, "pair_no", offset=offset, limit=limit)
-    return kept.select("sid", "source_idx", "source_file", "line_no", "src", "tgt")
+    return kept.select("sid", "source_idx", "source_file", "line_no", "pair_no", "src", "tgt")
 
 
 def read_bitext_files(
@@ -166,17 +181,18 @@ def read_bitext_files(
     tgt_path: str,
     where: Column | str | None = None,
     limit: int | None = None,
+    strict: bool = True,
 ) -> DataFrame:
-    """Pairs of two named files."""
+    """Pairs of two named files; lines of unlike ids are an error if ``strict``."""
     def numbered(path: str) -> DataFrame:
         return number_lines(read_lines(spark, path)).select(
             F.lit(0).alias("source_idx"), F.lit("").alias("base"), "line_no", "value")
 
     parsed = parse_pairs(paired_lines(numbered(src_path), numbered(tgt_path)))
-    kept = accept_pairs(parsed.filter("src_id = tgt_id"), where)
+    kept = accept_pairs(_same_ids(parsed, strict), where)
     if limit is not None:
         kept = skip_take(kept, "pair_no", limit=limit)
-    return kept.select("sid", "source_idx", "source_file", "line_no", "src", "tgt")
+    return kept.select("sid", "source_idx", "source_file", "line_no", "pair_no", "src", "tgt")
 
 
 def empty_sources(bitext: DataFrame, n_sources: int) -> DataFrame:

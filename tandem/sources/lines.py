@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.session import TEXT_ROW_BYTES, cut_lineage, fits_broadcast
@@ -55,14 +55,15 @@ def number_lines(lines: DataFrame, dataset_pattern: str | None = None) -> DataFr
     overall = (Window.orderBy("dataset", *order)
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select(
-        "file", "block", "_first", "dataset",
+        "file", "block", "_first", "_n", "dataset",
         F.coalesce(F.sum("_n").over(in_dataset), F.lit(0)).alias("_in_dataset"),
         F.coalesce(F.sum("_n").over(overall), F.lit(0)).alias("_overall"))
     if fits_broadcast(blocks.count(), 2 * TEXT_ROW_BYTES):
         offsets = F.broadcast(offsets)
     row = F.col("_mid") - F.col("_first")
-    checked = F.when(F.col("_first").isNull(),
-                     F.raise_error(F.lit("file blocks changed between passes"))).otherwise(row)
+    # splits may be packed otherwise in this pass; then rows fall outside their block
+    checked = F.when((row >= 0) & (row < F.col("_n")), row).otherwise(
+        F.raise_error(F.lit("file blocks changed between passes")).cast("long"))
     return (
         lines.join(offsets, ["file", "block"], "left")
         .withColumn("block_row", checked.cast("long"))
@@ -72,6 +73,13 @@ def number_lines(lines: DataFrame, dataset_pattern: str | None = None) -> DataFr
     )
 
 
+def accepted(rows: DataFrame, ok: Column, message: Column, strict: bool) -> DataFrame:
+    """Rows that are ``ok``; another row is an error if ``strict``, else left out."""
+    if strict:
+        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(ok)
+
+
 def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``dataset, line_no, value`` of every line."""
     return number_lines(read_lines(spark, paths)).select("dataset", "line_no", "value")

@@ -150,3 +150,12 @@ def test_session_helpers(spark):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_encoding_keeps_pairs_without_words(spark):
+    bitext = spark.createDataFrame(
+        [(1, ["a"], ["b"]), (2, [], []), (3, None, ["a"]), (3, ["b"], [])],
+        "sid long, src array<string>, tgt array<string>")
+    vocab = spark.createDataFrame([("a", 1)], "word string, id long")
+    rows = sorted((r.sid, r.src, r.tgt) for r in encode_bitext(bitext, vocab).collect())
+    assert rows == [(1, [1], [-1]), (2, [], []), (3, [], [1]), (3, [-1], [])]

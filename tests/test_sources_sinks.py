@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from tandem.functions.text import sgml_id, sgml_words
 from tandem.plans.encode import encode_files
 from tandem.plans.job import run
 from tandem.sinks.text import write_links, write_paired_bitext
@@ -46,7 +47,9 @@ def test_part_files_are_one_dataset_in_part_order(spark, tmp_path):
 
 def test_pipe_bitext(spark, tmp_path):
     path = put(f"{tmp_path}/p.txt", "3 7 9 | 12 4", " 1 | 2 | 3", "1 2", "1  2 | 3", "x | 1", "| 4")
-    rows = {r.sid: (r.src, r.tgt) for r in read_pipe_bitext(spark, path).collect()}
+    with pytest.raises(Exception, match="bad pair line 3"):
+        read_pipe_bitext(spark, path).collect()
+    rows = {r.sid: (r.src, r.tgt) for r in read_pipe_bitext(spark, path, strict=False).collect()}
     assert rows == {1: ([3, 7, 9], [12, 4]), 2: ([1], [2])}
     assert {r.sid for r in pipe_rejects(spark, path).collect()} == {3, 4, 5, 6}
     assert read_pipe_bitext(spark, path, max_per_split=1).count() == 1
@@ -63,7 +66,9 @@ def corpus(tmp_path):
 
 def test_paired_bitext(spark, tmp_path):
     root = corpus(tmp_path)
-    rows = ordered_pairs(read_paired_bitext(spark, root)).collect()
+    with pytest.raises(Exception, match="ids differ"):
+        read_paired_bitext(spark, root).collect()
+    rows = ordered_pairs(read_paired_bitext(spark, root, strict=False)).collect()
     assert [(r.sid, r.src, r.tgt) for r in rows] == [
         (1, ["the", "house"], ["la", "maison"]), (-2, ["no", "id"], ["sans", "id"]),
         (-4, ["one"], ["un"]), (-5, ["two"], ["deux"])]
@@ -76,9 +81,9 @@ def test_paired_bitext(spark, tmp_path):
 
 def test_offset_limit_and_filter_count_accepted_pairs(spark, tmp_path):
     root = corpus(tmp_path)
-    some = read_paired_bitext(spark, root, where="size(src) = 1", offset=1, limit=1)
+    some = read_paired_bitext(spark, root, where="size(src) = 1", offset=1, limit=1, strict=False)
     assert [r.sid for r in some.collect()] == [-5]
-    both = read_paired_bitext(spark, [root, root])
+    both = read_paired_bitext(spark, [root, root], strict=False)
     assert both.count() == 8 and empty_sources(both, 3).count() == 1
     assert accept_pairs(both).count() == 8
 
@@ -89,6 +94,18 @@ def test_named_files(spark, tmp_path):
     assert [(r.sid, r.src, r.tgt) for r in rows] == [(-1, ["one"], ["un"])]
 
 
+def test_a_folder_named_like_a_side_is_not_one(spark, tmp_path):
+    put(f"{tmp_path}/news.en/a.en", "one")
+    put(f"{tmp_path}/news.en/a.fr", "un")
+    assert [(r.src, r.tgt) for r in read_paired_bitext(spark, f"{tmp_path}").collect()] == [(["one"], ["un"])]
+
+
+def test_a_word_glued_to_the_tag_is_kept(spark):
+    lines = spark.createDataFrame([("<s snum=1>hello world </s>",), ("<s snum=2> x </s>",)], "value string")
+    rows = lines.select(sgml_id(lines.value).alias("i"), sgml_words(lines.value).alias("w")).collect()
+    assert [(r.i, r.w) for r in rows] == [(-1, ["snum=1>hello", "world"]), (2, ["x"])]
+
+
 def test_missing_source_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_paired_bitext(spark, f"{tmp_path}/nowhere").count()
@@ -102,7 +119,7 @@ def test_duplicate_ids_and_reverse(spark):
 
 
 def test_gold(spark, tmp_path):
-    path = put(f"{tmp_path}/test.wa", "0001 1 2 S", "0001 1 2 P", "0002 3 1 X", "0002 0 1 S")
+    path = put(f"{tmp_path}/test.wa", "0001 1 2 S ", "0001 1 2 P", "0002 3 1 X", "0002 0 1 S")
     rows = {tuple(r) for r in read_gold_links(spark, path).collect()}
     assert rows == {(1, 0, 1, True), (2, 2, 0, False)}
     bad = put(f"{tmp_path}/bad.wa", "1 2 3", "1 2 3 S")
