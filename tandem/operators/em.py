@@ -32,6 +32,7 @@ from tandem.operators.pairs import (
     row_bytes,
     sentence_bags,
     with_null_word,
+    with_own_key,
 )
 from tandem.session import (
     BROADCAST_LIMIT_BYTES,
@@ -178,7 +179,7 @@ def _settle(layout: Layout, amounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false",
                       spark__sql__shuffle__partitions=str(layout.n_tasks)):
         cells = cut_lineage(cells)
-    return cells, row_sums(layout.whole_cells(cells), "c")
+    return cells, row_sums(cells, "c")  # additive over the groups of cut words
 
 
 def initial_counts(layout: Layout) -> tuple[DataFrame, DataFrame]:
@@ -210,14 +211,14 @@ def train(
 ) -> DataFrame:
     """Translation table ``e, f, p`` with p summing to 1 per ``e``.
 
-    ``bitext`` has ``sid`` (unique), ``src`` and ``tgt``. Each sentence gets the
-    NULL word once; with ``null_growth`` round k sees it k+1 times.
+    ``bitext`` has ``sid``, ``src`` and ``tgt``; pairs may share a ``sid``. Each
+    sentence gets the NULL word once; with ``null_growth`` round k sees it k+1 times.
     """
     spark = bitext.sparkSession
     null, cell_bytes = null_token(bitext), row_bytes(bitext)
     with session_conf(spark,
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
-        bags = with_null_word(sentence_bags(bitext), null).persist(StorageLevel.MEMORY_AND_DISK)
+        bags = with_null_word(sentence_bags(with_own_key(bitext)), null).persist(StorageLevel.MEMORY_AND_DISK)
         layout = plan_layout(bags, cell_bytes, strategy, None, broadcast_limit, pairs_per_task)
         cells, sums = initial_counts(layout)
         for k in range(1, rounds + 1):
@@ -233,14 +234,20 @@ def train(
 def posterior(bitext: DataFrame, table: DataFrame, strategy: str = "auto",
               broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Share of every source word in explaining every target word, one E step."""
-    null = null_token(bitext)
+    from tandem.operators.decode import needed_cells
+
+    null, cell_bytes = null_token(bitext), row_bytes(bitext)
     with session_conf(bitext.sparkSession,
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
-        bags = with_null_word(sentence_bags(bitext), null)
-        layout = plan_layout(bags, row_bytes(bitext), strategy, table.count(), broadcast_limit)
-        shares = e_step(layout, layout.bring(table.select("e", "f", "p")), null).select("sid", "e", "f", "ne", "nf", "share")
-        result = cut_lineage(shares)
+        keyed = with_own_key(bitext)
+        bags = with_null_word(sentence_bags(keyed), null).persist(StorageLevel.MEMORY_AND_DISK)
+        table = needed_cells(table, bags, cell_bytes, broadcast_limit)
+        layout = plan_layout(bags, cell_bytes, strategy, table.count(), broadcast_limit)
+        shares = e_step(layout, layout.bring(table), null).select("sid", "e", "f", "ne", "nf", "share")
+        result = cut_lineage(shares.join(keyed.select("sid", "given_sid"), "sid").select(
+            F.col("given_sid").alias("sid"), "e", "f", "ne", "nf", "share"))
         layout.pairs.unpersist()
+        bags.unpersist()
     return result
 
 

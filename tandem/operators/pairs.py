@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.constants import NULL_ID, NULL_WORD
-from tandem.session import FIXED_ROW_BYTES, TEXT_ROW_BYTES, shuffle_partitions
+from tandem.session import FIXED_ROW_BYTES, TEXT_ROW_BYTES, cut_lineage, shuffle_partitions
 
 
 def _is_text(bitext: DataFrame) -> bool:
@@ -30,11 +30,22 @@ def append_null(bitext: DataFrame) -> DataFrame:
     return bitext.withColumn("src", F.array_append("src", null_token(bitext)))
 
 
+def with_own_key(bitext: DataFrame) -> DataFrame:
+    """``sid`` replaced by a number of the pair's own; ``given_sid`` keeps the old one.
+
+    Files that number their sentences from 1 share ids, and a pair is a pair
+    whatever its id. The numbers are fixed by writing the pairs down.
+    """
+    return cut_lineage(bitext.select(
+        F.monotonically_increasing_id().alias("sid"), F.col("sid").alias("given_sid"), "src", "tgt"))
+
+
 def sentence_bags(bitext: DataFrame) -> DataFrame:
     """``sid, len, src, tgt`` with distinct words, their counts and first positions.
 
     Working on distinct words keeps token multiplicity as a factor instead of
-    repeated rows. One shuffle of the sentences; ``sid`` must be unique.
+    repeated rows. One shuffle of the sentences; ``sid`` must be unique, see
+    :func:`with_own_key`. A NULL side counts as empty.
     """
     def side(column: str, is_tgt: bool) -> Column:
         return F.transform(column, lambda w, i: F.struct(
@@ -43,6 +54,7 @@ def sentence_bags(bitext: DataFrame) -> DataFrame:
     n = shuffle_partitions(bitext.sparkSession)
     tokens = (
         bitext.repartition(n, "sid")
+        .select("sid", *[F.coalesce(c, F.array().cast(bitext.schema[c].dataType)).alias(c) for c in ("src", "tgt")])
         .select("sid", F.size("src").alias("len"),
                 F.explode(F.concat(side("src", False), side("tgt", True))).alias("x"))
         .select("sid", "len", "x.t", "x.w", "x.pos")
@@ -85,7 +97,7 @@ def cooccurrence_of_bags(bags: DataFrame) -> DataFrame:
 
 def cooccurrence(bitext: DataFrame, with_null: bool = True) -> DataFrame:
     """How often ``e`` and ``f`` stand in the same pair, counting tokens: ``e, f, n``."""
-    bags = sentence_bags(bitext)
+    bags = sentence_bags(with_own_key(bitext))
     if with_null:
         bags = with_null_word(bags, null_token(bitext))
     return cooccurrence_of_bags(bags)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tandem.constants import EM_ROUNDS
+
 
 def _tok(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '\\s+'), lambda w: w <> '')"
@@ -85,20 +87,20 @@ def _em(pairs: str, rounds: int, null: str, growth: bool = False) -> str:
 
 
 def _links(bitext: str, table: str, null: str, name: str) -> str:
-    """Best link of every target position; NULL first, then leftmost, at six decimals."""
+    """Best link of every target position; NULL first, then leftmost, by six decimals of the logarithm."""
     return f"""{name} AS MATERIALIZED (
       SELECT sid, e_pos, f_pos FROM (
         SELECT sid, f_pos, e_pos, prob,
-               row_number() OVER (PARTITION BY sid, f_pos ORDER BY prob DESC, e_pos) AS rn
-        FROM (
+               row_number() OVER (PARTITION BY sid, f_pos ORDER BY round(ln(prob), 6) DESC, e_pos) AS rn
+        FROM (SELECT * FROM (
           SELECT f.sid, f.f_pos, e.e_pos,
-                 round(t.p, 6) * (CASE WHEN e.e_pos < 0 THEN 0.2::DOUBLE ELSE 0.8::DOUBLE / (b.l + 1) END) AS prob
+                 t.p * (CASE WHEN e.e_pos < 0 THEN 0.2::DOUBLE ELSE 0.8::DOUBLE / (b.l + 1) END) AS prob
           FROM (SELECT sid, e_pos, e FROM ({_positions(bitext, 'src', 'e_pos', 'e')})
                 UNION ALL SELECT sid, -1, {null} FROM {bitext}) e
           JOIN ({_positions(bitext, 'tgt', 'f_pos', 'f')}) f ON f.sid = e.sid
           JOIN (SELECT sid, len(src) AS l FROM {bitext}) b ON b.sid = e.sid
-          JOIN {table} t ON t.e = e.e AND t.f = f.f))
-      WHERE rn = 1 AND prob > 0 AND e_pos >= 0)"""
+          JOIN {table} t ON t.e = e.e AND t.f = f.f) WHERE prob > 0))
+      WHERE rn = 1 AND e_pos >= 0)"""
 
 
 def _gold(bitext: str, name: str = "gold") -> str:
@@ -113,8 +115,8 @@ NULL_WORD = "'<null>'"
 TRAIN_IDS = ", ".join([TRAIN, _vocab("bt"), _encode("bt", "vocab", "enc")])
 TRAIN_PAIRS = TRAIN_IDS + ", " + _pairs("enc", "pairs", "0")
 HELD_GOLD = HELD + ", " + _gold("held")
-MODEL = ", ".join([TRAIN, _pairs("bt", "pairs", NULL_WORD), _em("pairs", 3, NULL_WORD)])
-ALIGNED = ", ".join([MODEL, HELD, _links("held", "t3", NULL_WORD, "links"), _gold("held")])
+MODEL = ", ".join([TRAIN, _pairs("bt", "pairs", NULL_WORD), _em("pairs", EM_ROUNDS, NULL_WORD)])
+ALIGNED = ", ".join([MODEL, HELD, _links("held", f"t{EM_ROUNDS}", NULL_WORD, "links"), _gold("held")])
 COMPARED = ALIGNED + """, cmp AS MATERIALIZED (
       SELECT sid, e_pos, f_pos, bool_or(a) AS a, bool_or(s) AS s, bool_or(p) AS p FROM (
         SELECT sid, e_pos, f_pos, true AS a, false AS s, false AS p FROM links
@@ -166,6 +168,8 @@ def _cells(proposed: str) -> str:
 
 _REVERSED_SURE = "SELECT sid, f_pos AS e_pos, e_pos AS f_pos FROM gold WHERE sure"
 _REVERSED = "SELECT sid, f_pos AS e_pos, e_pos AS f_pos, sure FROM gold"
+# a model's cells span many orders of magnitude, so they are compared by logarithm
+_LOG_P = "CASE WHEN p > 0 THEN round(ln(p), 6) END"
 _CELLS_ROUNDED = "SELECT e, f, round(p, 6) AS p FROM {0}"
 
 
@@ -176,7 +180,7 @@ def _both_counts(null: str | None) -> str:
 
 def _em_query(rounds: int, growth: bool = False) -> str:
     return (f"WITH {TRAIN_PAIRS}, {_em('pairs', rounds, '0', growth)} "
-            f"SELECT e::INT AS e, f::INT AS f, round(p, 6) AS p FROM t{rounds}")
+            f"SELECT e::INT AS e, f::INT AS f, {_LOG_P} AS log_p FROM t{rounds}")
 
 
 ORACLES: dict[str, str] = {
@@ -299,6 +303,8 @@ ORACLES: dict[str, str] = {
         SELECT token, count(*) AS n FROM ({_positions('bt', 'tgt', 'pos', 'token')}) GROUP BY token)""",
     "lexicographic_sort": """SELECT l_partkey, l_orderkey, l_linenumber,
         row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber) AS idx FROM lineitem""",
+    "take_per_partition": f"""WITH {TRAIN} SELECT sid, (sid % 8)::INT AS part FROM bt
+        QUALIFY row_number() OVER (PARTITION BY sid % 8 ORDER BY sid) <= 3""",
     "set_union": f"WITH {TRAIN}, {HELD} SELECT unnest(src) AS token FROM bt UNION SELECT unnest(src) FROM held",
     "concat_ordered": f"WITH {TRAIN}, {HELD} SELECT sid, 0 AS part_idx FROM bt UNION ALL SELECT sid, 1 FROM held",
     "flatten_two_level": """SELECT doc_id, unnest(range(len(ls)))::INT AS pos, unnest(ls) AS line
@@ -319,7 +325,8 @@ ORACLES: dict[str, str] = {
     "confusion_counts": f"WITH {COMPARED} SELECT {_COUNTS} FROM cmp",
     "metrics_overall": f"WITH {COMPARED} SELECT {_METRICS} FROM (SELECT {_COUNTS} FROM cmp)",
     "metrics_per_sentence": f"""WITH {COMPARED} SELECT sid, {_METRICS}
-        FROM (SELECT sid, {_COUNTS} FROM cmp GROUP BY sid)""",
+        FROM (SELECT sid, coalesce(a_s, 0) AS a_s, coalesce(a_p, 0) AS a_p, coalesce(a, 0) AS a, coalesce(s, 0) AS s
+              FROM (SELECT DISTINCT sid FROM held) LEFT JOIN (SELECT sid, {_COUNTS} FROM cmp GROUP BY sid) USING (sid))""",
     "rendered_grid": f"""WITH {ALIGNED}, {_cells('SELECT * FROM links')}
         SELECT sid, 0 AS part, f_pos AS i, cells || '| ' || word AS line FROM grid
         UNION ALL SELECT sid, 1, 0, repeat('---', len(src)) || '''' FROM held
@@ -328,7 +335,7 @@ ORACLES: dict[str, str] = {
           FROM (SELECT sid, src, unnest(range(list_max(list_transform(src, lambda w: length(w))))) AS i FROM held) d
           JOIN ({_positions('held', 'src', 'e_pos', 'e')}) w USING (sid) GROUP BY sid, i""",
     "whole_job": f"WITH {COMPARED} SELECT {_METRICS} FROM (SELECT {_COUNTS} FROM cmp)",
-    "top_translations": f"""WITH {MODEL} SELECT e, f, p, rank FROM (
-        SELECT e, f, round(p, 6) AS p, row_number() OVER (PARTITION BY e ORDER BY round(p, 6) DESC, f)::INT AS rank
-        FROM t3) WHERE rank <= 3""",
+    "top_translations": f"""WITH {MODEL} SELECT e, f, log_p, rank FROM (
+        SELECT e, f, log_p, row_number() OVER (PARTITION BY e ORDER BY log_p DESC, f)::INT AS rank
+        FROM (SELECT e, f, {_LOG_P} AS log_p FROM t{EM_ROUNDS} WHERE p > 0)) WHERE rank <= 3""",
 }

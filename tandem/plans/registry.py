@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.constants import SRC_EXT, TGT_EXT
+from tandem.constants import EM_ROUNDS, SRC_EXT, TGT_EXT
 from tandem.functions.links import link_state, link_text
 from tandem.functions.model import position_prior
 from tandem.functions.text import (
@@ -15,7 +15,6 @@ from tandem.functions.text import (
     envelope_prefix,
     envelope_suffix,
     map_tokens,
-    numbered_words,
     sgml_id,
     sgml_words,
     split_single_whitespace,
@@ -28,6 +27,7 @@ from tandem.operators import links as L
 from tandem.operators import order as O
 from tandem.operators import sets as S
 from tandem.operators.decode import align
+from tandem.operators.display import format_pair as display_pair
 from tandem.operators.em import posterior, train
 from tandem.operators.em import top_translations as most_likely
 from tandem.operators.pairs import append_null, cooccurrence
@@ -55,6 +55,8 @@ QUERIES: dict[str, Query] = {}
 FIRST_LINES = 3
 SKIPPED, TAKEN = 40, 60
 SHARDS = 8
+# Decimals at which logarithms of probabilities are compared, so that ties are ties everywhere.
+DIGITS = 6
 
 
 def query(fn: Query) -> Query:
@@ -66,6 +68,11 @@ def _joined(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), " ").alias(column)
 
 
+def _log_p() -> Column:
+    """A model's cells span many orders of magnitude, so they are compared by logarithm."""
+    return F.when(F.col("p") > 0, F.round(F.log("p"), DIGITS)).alias("log_p")
+
+
 def _r6(column: str) -> Column:
     return F.round(column, 6).alias(column)
 
@@ -285,8 +292,9 @@ def link_states(spark, sf_dir):
 
 @query
 def format_pair(spark, sf_dir):
-    return training_bitext(spark, sf_dir).select(
-        "sid", numbered_words(F.col("src")).alias("src_line"), numbered_words(F.col("tgt")).alias("tgt_line"))
+    lines = F.split("text", "\n")  # words hold no line end
+    return display_pair(training_bitext(spark, sf_dir)).select(
+        "sid", F.get(lines, 0).alias("src_line"), F.get(lines, 1).alias("tgt_line"))
 
 
 @query
@@ -436,7 +444,10 @@ def vocab_first_seen(spark, sf_dir):
 
 @query
 def take_per_partition(spark, sf_dir):
-    return O.take_per_partition(training_bitext(spark, sf_dir).select("sid"), FIRST_LINES)
+    """The first pairs of each of SHARDS partitions that the query itself lays out."""
+    pairs = training_bitext(spark, sf_dir).select("sid", F.pmod("sid", F.lit(SHARDS)).cast("int").alias("part"))
+    return O.take_per_partition(
+        pairs.repartitionById(SHARDS, F.col("part")).sortWithinPartitions("sid"), FIRST_LINES)
 
 
 @query
@@ -534,7 +545,7 @@ def posterior_one_round(spark, sf_dir):
 
 def _em(spark, sf_dir, rounds, **options):
     model = train(_encoded(training_bitext(spark, sf_dir)), rounds, **options)
-    return model.select("e", "f", _r6("p"))
+    return model.select("e", "f", _log_p())
 
 
 @query
@@ -562,12 +573,15 @@ def em_3_null_growth(spark, sf_dir):
     return _em(spark, sf_dir, 3, null_growth=True)
 
 
-# Decimals at which probabilities are compared, so that ties are ties everywhere.
-DIGITS = 6
+_MODELS: dict[tuple[str, str], DataFrame] = {}
 
 
 def _model(spark, sf_dir):
-    return train(training_bitext(spark, sf_dir), 3)
+    """The model after all rounds, trained once a session for all queries on it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _MODELS:
+        _MODELS[key] = train(training_bitext(spark, sf_dir), EM_ROUNDS)
+    return _MODELS[key]
 
 
 def _aligned(spark, sf_dir, strategy="auto"):
@@ -619,11 +633,12 @@ def whole_job(spark, sf_dir):
     both = trained.unionByName(held.withColumn("sid", F.col("sid") + F.lit(1 << 61)))
     vocab = _vocab(both)
     outcome = align_and_score(encode_bitext(trained, vocab), encode_bitext(held, vocab),
-                              look_alike_gold(held), rounds=3, digits=DIGITS)
+                              look_alike_gold(held), digits=DIGITS)
     return outcome.metrics.select(_r6("precision"), _r6("recall"), _r6("aer"))
 
 
 @query
 def top_translations(spark, sf_dir):
     """The three most likely target words of every source word."""
-    return most_likely(_model(spark, sf_dir).withColumn("p", F.round("p", DIGITS)), 3)
+    ranked = most_likely(_model(spark, sf_dir).filter("p > 0").withColumn("p", F.round(F.log("p"), DIGITS)), 3)
+    return ranked.select("e", "f", F.col("p").alias("log_p"), "rank")

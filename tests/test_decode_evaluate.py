@@ -3,13 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators.decode import align
+from tandem.operators.decode import align, needed_cells
 from tandem.operators.em import posterior, top_translations
 from tandem.operators.evaluate import (
     compare_links, confusion, evaluate, gold_of_sentences, missing_gold)
 from tandem.operators.links import (
     build_links, invalid_links, link_intersection, link_membership, links_for_source, reverse_links,
     sure_links)
+from tandem.operators.pairs import null_token, sentence_bags, with_null_word
 from tandem.operators.render import render_alignment
 from tests.brute import best_links, scores
 
@@ -107,3 +108,26 @@ def test_top_translations(spark):
     table = spark.createDataFrame([(1, 5, 0.5), (1, 4, 0.5), (1, 3, 0.2), (2, 3, 1.0)], TABLE)
     assert {(r.e, r.f, r["rank"]) for r in top_translations(table, 2).collect()} == {
         (1, 4, 1), (1, 5, 2), (2, 3, 1)}
+
+
+def test_improbable_words_still_win_over_null(spark):
+    bitext = spark.createDataFrame([(1, ["e"], ["f"])], "sid long, src array<string>, tgt array<string>")
+    table = spark.createDataFrame([("e", "f", 4e-7), ("<null>", "f", 1e-9)], "e string, f string, p double")
+    for digits in (None, 6):
+        assert [(r.e_pos, r.f_pos) for r in align(bitext, table, digits=digits).collect()] == [(0, 0)]
+
+
+def test_a_large_table_is_cut_to_the_test_set(spark):
+    bitext = spark.createDataFrame([(1, ["1"], ["2"])], "sid long, src array<string>, tgt array<string>")
+    table = spark.range(200_000).selectExpr("cast(id % 700 AS string) AS e", "cast(id AS string) AS f", "0.1D AS p")
+    bags = with_null_word(sentence_bags(bitext), null_token(bitext))
+    cells = needed_cells(table, bags, 64)
+    assert cells.count() == table.filter("e = '1' and f = '2'").count()
+    assert align(bitext, table).count() == cells.count()
+
+
+def test_every_sentence_has_a_score_row(spark):
+    bitext = spark.createDataFrame([(1, ["a"], ["b"]), (2, ["a"], ["b"])], "sid long, src array<string>, tgt array<string>")
+    links = spark.createDataFrame([(1, 0, 0, True)], "sid long, e_pos int, f_pos int, sure boolean")
+    rows = {r.sid: (r.precision, r.recall) for r in evaluate(links, links, bitext, by_sentence=True).collect()}
+    assert rows == {1: (1.0, 1.0), 2: (None, None)}

@@ -136,3 +136,19 @@ def test_broadcast_rounds_shuffle_only_counts(spark):
     assert second.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
     assert "Sort " not in second
     assert "BroadcastHashJoin" in second
+
+
+def test_pairs_of_one_id_are_kept_apart(spark):
+    rows = [([1, 2], [5, 6]), ([3, 4], [7, 8]), ([1, 2], [5, 6])]
+    schema = "sid long, src array<int>, tgt array<int>"
+    same = spark.createDataFrame([(1, *r) for r in rows], schema)
+    own = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    tables = [{(r.e, r.f): round(r.p, 9) for r in train(b, 3).collect()} for b in (same, own)]
+    assert tables[0] == tables[1]
+    assert (1, 7) not in tables[0]
+
+
+def test_null_and_empty_sides_count_as_empty(spark):
+    bitext = spark.createDataFrame([(1, [1], [2]), (2, [], []), (3, None, [2])],
+                                   "sid long, src array<int>, tgt array<int>")
+    assert {(r.e, r.f) for r in train(bitext, 2).collect()} == {(0, 2), (1, 2)}

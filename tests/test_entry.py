@@ -3,18 +3,21 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from tandem.plans.oracle import ORACLES
+from tandem.plans.registry import QUERIES
 
 # One query per family; `python check.py` compares all of them.
-SAMPLE = ["paired_bitext", "encoded_roundtrip", "vocab_growth", "link_states", "rendered_grid", "whole_job"]
+SAMPLE = ["paired_bitext", "encoded_roundtrip", "vocab_growth", "link_states", "rendered_grid", "whole_job",
+          "best_link", "top_translations", "metrics_per_sentence", "take_per_partition", "em_20"]
 
 
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"take_per_partition"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["e", "f", "p", "rank"]
+    assert entry(spark).columns == ["e", "f", "log_p", "rank"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
