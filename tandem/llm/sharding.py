@@ -20,6 +20,8 @@ no rows. Columns other than doc_id, text, lang, source are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,23 +87,35 @@ def scaled_keys(points: DataFrame) -> list[Column]:
     return keys
 
 
-def cut_points(points: DataFrame, left: list[float]) -> list[int]:
-    """For each node the least ``key`` right of its cut, from STEP bits at a time.
+def descend(tree: list, leaf: Callable[[int], Column], node: int = 0) -> Column:
+    """What ``leaf`` gives for the node a point falls in, as nested conditions.
+
+    ``tree`` has for each node (dimension, cut, left, right), or None for a leaf.
+    """
+    if tree[node] is None:
+        return leaf(node)
+    dim, cut, left, right = tree[node]
+    return F.when(F.col(f"k_{DIMENSIONS[dim]}") < F.lit(cut), descend(tree, leaf, left)).otherwise(
+        descend(tree, leaf, right))
+
+
+def cut_points(points: DataFrame, tree: list, dims: dict[int, int], left: dict[int, float]) -> dict[int, int]:
+    """For each node in ``dims`` the least key right of its cut, STEP bits at a time.
 
     ``left`` has the bytes wanted on the left of each node's cut.
     """
-    spark = points.sparkSession
-    prefix, wanted = [0] * len(left), list(left)
+    prefix, wanted = dict.fromkeys(dims, 0), dict(left)
+    node = descend(tree, lambda n: F.lit(n))
+    key = descend(tree, lambda n: F.col(f"k_{DIMENSIONS[dims.get(n, 0)]}"))
     for shift in range(KEY_BITS - STEP, -1, -STEP):
-        inside = F.broadcast(spark.createDataFrame(list(enumerate(prefix)), "node int, prefix long"))
-        sums = (points.join(inside, "node")
-                .filter(F.shiftright("key", shift + STEP) == F.col("prefix"))
-                .groupBy("node", F.shiftright("key", shift).alias("cell"))
+        top = descend(tree, lambda n: F.lit(prefix.get(n, -1)).cast("long"))  # noqa: B023
+        sums = (points.filter(F.shiftright(key, shift + STEP) == top)
+                .groupBy(node.alias("node"), F.shiftright(key, shift).alias("cell"))
                 .agg(F.sum("bytes").alias("bytes")).collect())
         cells: dict[int, dict[int, int]] = {}
         for r in sums:
             cells.setdefault(r["node"], {})[r["cell"]] = r["bytes"]
-        for n in range(len(left)):
+        for n in dims:
             # the cell in which the wanted sum is reached; past the last: all left
             chosen = (prefix[n] << STEP) + (1 << STEP) - 1
             for cell in sorted(cells.get(n, {})):
@@ -116,38 +130,26 @@ def cut_points(points: DataFrame, left: list[float]) -> list[int]:
     return prefix
 
 
-def grow_tree(points: DataFrame, room: list[float]) -> DataFrame:
-    """``points`` with ``shard``, the leaf they fall in; ``room`` is a leaf's share.
-
-    A level joins its rules, one row a node, so plans grow by one join a level.
-    """
-    spark, keys = points.sparkSession, [f"k_{c}" for c in DIMENSIONS]
-    nodes = [(0, len(room))]  # shards [from, to) of each node
-    points = points.withColumn("node", F.lit(0))
-    while any(b - a > 1 for a, b in nodes):
-        widths = {r["node"]: r for r in points.groupBy("node").agg(
-            F.sum("bytes").alias("bytes"),
-            *[(F.max(k) - F.min(k)).alias(k) for k in keys]).collect()}
-        rules, left, after = [], [], []
-        for n, (a, b) in enumerate(nodes):
-            row, middle = widths.get(n), (a + b) // 2
-            whole, half = sum(room[a:b]), sum(room[a:middle])
-            dim = max(range(len(keys)), key=lambda i: row[keys[i]]) if row else 0
-            left.append((row["bytes"] if row else 0) * (half / whole if whole > 0 else 0.5))
-            rules.append((n, dim + 1, len(after)))
-            after += [(a, middle), (middle, b)] if b - a > 1 else [(a, b)]
-        rule = F.broadcast(spark.createDataFrame(rules, "node int, dim int, next int"))
-        keyed = points.join(rule, "node").withColumn("key", F.element_at(F.array(*keys), F.col("dim")))
-        cuts = [cut if b - a > 1 else 1 << (KEY_BITS + 1)
-                for cut, (a, b) in zip(cut_points(keyed, left), nodes)]
-        cut = F.broadcast(spark.createDataFrame(list(enumerate(cuts)), "node int, cut long"))
-        points = keyed.join(cut, "node").select(
-            "digest", "n", "bytes", *keys,
-            (F.col("next") + (F.col("key") >= F.col("cut")).cast("int")).alias("node"))
-        nodes = after
-    leaves = F.broadcast(spark.createDataFrame(
-        [(n, a) for n, (a, _) in enumerate(nodes)], "node int, shard int"))
-    return points.join(leaves, "node").select("digest", "n", "shard")
+def grow_tree(points: DataFrame, room: list[float]) -> Column:
+    """The shard of a point; ``room`` is a shard's share of the bytes."""
+    keys = [f"k_{c}" for c in DIMENSIONS]
+    tree, ends = [None], {0: (0, len(room))}  # shards [from, to) of the nodes at the bottom
+    while any(b - a > 1 for a, b in ends.values()):
+        widths = {r["node"]: r for r in points.groupBy(
+            descend(tree, lambda n: F.lit(n)).alias("node")).agg(
+            F.sum("bytes").alias("bytes"), *[(F.max(k) - F.min(k)).alias(k) for k in keys]).collect()}
+        dims, left = {}, {}
+        for n, (a, b) in ends.items():
+            if b - a > 1:
+                row, whole, half = widths.get(n), sum(room[a:b]), sum(room[a:(a + b) // 2])
+                dims[n] = max(range(len(keys)), key=lambda i: row[keys[i]]) if row else 0
+                left[n] = (row["bytes"] if row else 0) * (half / whole if whole > 0 else 0.5)
+        for n, cut in cut_points(points, tree, dims, left).items():
+            a, b = ends.pop(n)
+            tree[n] = (dims[n], cut, len(tree), len(tree) + 1)
+            ends |= {len(tree): (a, (a + b) // 2), len(tree) + 1: ((a + b) // 2, b)}
+            tree += [None, None]
+    return descend(tree, lambda n: F.lit(ends[n][0]))
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
@@ -163,7 +165,8 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         "digest", "bytes").collect()], shards, target)
     small = groups.filter(F.col("bytes") * LARGE_PART <= F.lit(target))
     points = stored(small.select("digest", "n", "bytes", *scaled_keys(small)), "points")
-    small = stored(grow_tree(points, [max(0.0, target - f) for f in filled]), "leaves")
+    leaf = grow_tree(points, [max(0.0, target - f) for f in filled])
+    small = stored(points.select("digest", "n", leaf.alias("shard")), "leaves")
 
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(
