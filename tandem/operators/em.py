@@ -108,7 +108,7 @@ class Layout:
 
 def plan_layout(bags: DataFrame, cell_bytes: int, strategy: str = "auto",
                 n_cells: int | None = None, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                pairs_per_task: int = PAIRS_PER_TASK) -> Layout:
+                pairs_per_task: int = PAIRS_PER_TASK, positions: bool = True) -> Layout:
     """Choose where pairs live. ``broadcast`` falls back to ``shuffle`` beyond the limit.
 
     Without ``n_cells`` the number of pairs bounds the table; only when that bound
@@ -155,6 +155,8 @@ def plan_layout(bags: DataFrame, cell_bytes: int, strategy: str = "auto",
             salted = rows.join(F.broadcast(hot), "f", "left").withColumn("salt", salt).drop("cuts")
             pairs = explode_pairs(salted.repartition(n_tasks, *owner), "salt")
         group = [*owner, "sid"]
+    if not positions:  # only decoding reads them
+        pairs = pairs.drop("e_pos")
     pairs = pairs.sortWithinPartitions(*group).persist(StorageLevel.MEMORY_AND_DISK)
     return Layout(pairs, group, n_tasks, owner, hot)
 
@@ -219,7 +221,8 @@ def train(
     with session_conf(spark,
                       spark__sql__requireAllClusterKeysForCoPartition="false"):
         bags = with_null_word(sentence_bags(with_own_key(bitext)), null).persist(StorageLevel.MEMORY_AND_DISK)
-        layout = plan_layout(bags, cell_bytes, strategy, None, broadcast_limit, pairs_per_task)
+        layout = plan_layout(bags, cell_bytes, strategy, None, broadcast_limit, pairs_per_task,
+                             positions=False)
         cells, sums = initial_counts(layout)
         for k in range(1, rounds + 1):
             placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
