@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.model import null_safe_sum, ratio, value_or_zero
 from tandem.operators.joins import lookup_join
-from tandem.session import cut_lineage
+from tandem.session import TEXT_ROW_BYTES, cut_lineage
 
 CELL = ["e", "f"]
 
@@ -33,14 +33,16 @@ def row_sums(counts: DataFrame, value: str = "n") -> DataFrame:
     return cut_lineage(counts.groupBy("e").agg(F.sum(value).alias("sum")))
 
 
-def divide_rows(counts: DataFrame, sums: DataFrame, value: str = "n", name: str = "p") -> DataFrame:
+def divide_rows(counts: DataFrame, sums: DataFrame, value: str = "n", name: str = "p",
+                row_bytes: int = TEXT_ROW_BYTES, broadcast_limit: int | None = None) -> DataFrame:
     """Counts over their row sum; the sums travel to the counts when they fit."""
-    return lookup_join(counts, sums, ["e"]).select(
+    return lookup_join(counts, sums, ["e"], row_bytes=row_bytes, broadcast_limit=broadcast_limit).select(
         *CELL, ratio(F.col(value), F.col("sum")).alias(name))
 
 
 def normalize_rows(counts: DataFrame, value: str = "n", name: str = "p") -> DataFrame:
-    """Every row ``e`` divided by its sum."""
+    """Every row ``e`` divided by its sum. The counts are worked out once for both."""
+    counts = cut_lineage(counts)
     return divide_rows(counts, row_sums(counts, value), value, name)
 
 

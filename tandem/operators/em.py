@@ -198,7 +198,8 @@ def place_next(layout: Layout, cells: DataFrame, sums: DataFrame, sum_bytes: int
                broadcast_limit: int) -> DataFrame:
     """The normalised table for the next round, next to the pairs."""
     if layout.owner is None or not fits_broadcast(sums.count(), sum_bytes, broadcast_limit):
-        return layout.bring(divide_rows(layout.whole_cells(cells), sums, "c"))
+        return layout.bring(divide_rows(layout.whole_cells(cells), sums, "c",
+                                        row_bytes=sum_bytes, broadcast_limit=broadcast_limit))
     return layout.in_place(cells).join(F.broadcast(sums), "e").select(
         *layout.owner, "e", ratio(F.col("c"), F.col("sum")).alias("p"))
 
@@ -228,7 +229,8 @@ def train(
             placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
             expected = e_step(layout, placed, null, k + 1 if null_growth else 1)
             cells, sums = m_step(expected, layout)
-        table = cut_lineage(divide_rows(layout.whole_cells(cells), sums, "c"))
+        table = cut_lineage(divide_rows(layout.whole_cells(cells), sums, "c",
+                                        row_bytes=cell_bytes, broadcast_limit=broadcast_limit))
         layout.pairs.unpersist()
         bags.unpersist()
     return table

@@ -42,17 +42,6 @@ def held_out_bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(table(spark, sf_dir, "conversations"), "assistant", "user")
 
 
-def document_bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring lines of every document; ``sid`` is document * TURNS + line."""
-    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("l"))
-    neighbours = F.arrays_zip(
-        F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"),
-        F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))).alias("b"))
-    return lines.select("doc_id", F.posexplode(neighbours).alias("i", "x")).select(
-        (F.col("doc_id") * TURNS + F.col("i")).alias("sid"),
-        words_lower(F.col("x.a")).alias("src"), words_lower(F.col("x.b")).alias("tgt"))
-
-
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one line in its sentence envelope: ``line, file, value``."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
