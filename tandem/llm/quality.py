@@ -55,6 +55,10 @@ def cells_of(word: bytes) -> bytes:
     return (np.array(found, np.uint32) & np.uint32(CELLS - 1)).astype("<i4").tobytes()
 
 
+def all_cells(words: list[bytes]) -> list[bytes]:
+    return [cells_of(w) for w in words]
+
+
 def read_cells(words: WordCache, text: str) -> np.ndarray:
     return np.frombuffer(b"".join(words.look(text.encode().split())), "<i4")
 
@@ -80,7 +84,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
     names = [f"v{i}" for i in range(SIZE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, index = cache("cells:", cells_of), index_vectors()
+        words, index = cache("cells:", all_cells), index_vectors()
         total = np.zeros((CELLS, SIZE), np.int64)
         parts, held, number = [], 0, 0
 
@@ -106,7 +110,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
 
     sums = (id_and_text(docs).select(TEXT)
             .mapInArrow(run, "cell int, " + ", ".join(f"{n} long" for n in names))
-            .groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
+            .groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toArrow().to_pandas())
     total = np.zeros((CELLS, SIZE))
     total[sums["cell"].to_numpy(np.int64)] = sums[names].to_numpy(np.float64)
     return total
@@ -187,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = cache("cells:", cells_of)
+        words = cache("cells:", all_cells)
         for batch in batches:
             pooled = [pool(read_cells(words, t.as_py()), shared.value) for t in batch.column(TEXT)]
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
                  batch.column(ID)], ["y", "part", "x", ID])
 
     known = (sample(docs, labels, "quality", FOLDS, HELD_OUT, rows)
-             .mapInArrow(run, "y int, part int, x array<double>, doc_id long").toPandas())
+             .mapInArrow(run, "y int, part int, x array<double>, doc_id long").toArrow().to_pandas())
     known = known.sort_values([ID, "y"], kind="stable")  # the order of rows must not matter
     x, y = np.array(known["x"].tolist()), known["y"].to_numpy(np.float64)
     learn = known["part"].to_numpy() != 0
@@ -214,7 +218,7 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Colum
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        words = cache("cells:", cells_of)
+        words = cache("cells:", all_cells)
         vectors, network = shared.value
         if network is None or not len(texts):
             return pd.Series(0.5, index=texts.index)

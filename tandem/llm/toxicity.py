@@ -21,7 +21,6 @@ returns all columns, whatever their names.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
@@ -30,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from tandem.llm.common import ID, TEXT, body, crc_of_id
+from tandem.llm.common import ID, TEXT, body, crc_of_id, stored
 from tandem.llm.labelled import logistic, sample, sigmoid
 from tandem.llm.words import LETTERS, cache
 
@@ -90,78 +90,99 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return words.mapInArrow(by_gram, schema).groupBy("w").agg(*sums).withColumnRenamed("w", "gram")
 
 
-def shared_backoff(all_grams: list[str]):
-    """P(last character of g | those before it) below the longest order, by continuation counts."""
-    types = [Counter() for _ in range(ORDER)]  # types[k]: distinct characters before a k-gram
-    seen = set(all_grams)
-    for k in range(ORDER - 1, 0, -1):
-        types[k].update(g[1:] for g in seen)
-        seen = set(types[k])
-    sums = [Counter() for _ in range(ORDER)]
-    kinds = [Counter() for _ in range(ORDER)]
-    discount = [0.5] * ORDER
-    for k in range(1, ORDER):
-        for g, n in types[k].items():
-            sums[k][g[:-1]] += n
-            kinds[k][g[:-1]] += 1
-        ones, twos = (sum(n == x for n in types[k].values()) for x in (1, 2))
-        discount[k] = ones / (ones + 2 * twos) if ones and twos else 0.5
-    uniform = 1 / (len(types[1]) + 1)
-
-    def probability(gram: str) -> float:
-        k, history = len(gram), gram[:-1]
-        below = probability(gram[1:]) if k > 1 else uniform
-        total = sums[k][history]
-        if not total:
-            return below
-        d = discount[k]
-        return (max(types[k][gram] - d, 0) + d * kinds[k][history] * below) / total
-
-    return probability
-
-
-def compile_model(counts: pd.DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Log ratio, toxic to ordinary, of each seen n-gram, and of backing off from a history.
-
-    An n-gram seen in neither class has the ratio of its history: the shared
-    probability below is the same for both.
+def absolute_discount(table: DataFrame, count: str) -> float:
+    """n1 / (n1 + 2 n2), one half where there is none of either."""
+    r = table.agg(F.count_if(F.col(count) == 1).alias("ones"), F.count_if(F.col(count) == 2).alias("twos")).first()
+    return r["ones"] / (r["ones"] + 2 * r["twos"]) if r["ones"] and r["twos"] else 0.5
+
+
+def history() -> Column:
+    return F.expr("left(gram, length(gram) - 1)")
+
+
+def tail() -> Column:
+    return F.expr("substring(gram, 2)")
+
+
+def shared_backoff(grams_: DataFrame) -> DataFrame:
+    """P(last character | those before it) of all n-grams below the longest, as ``gram, p``.
+
+    Kneser-Ney by continuation counts: the count of an n-gram is the number of
+    distinct characters found before it, in both classes together.
+    """
+    levels = [grams_.select("gram")]
+    for _ in range(ORDER - 1):
+        levels.append(stored(levels[-1].groupBy(tail().alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")), "continuations"))
+    below = None
+    for level in reversed(levels[1:]):
+        d = absolute_discount(level, "n")
+        sums = level.groupBy(history().alias("h")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        joined = level.withColumn("h", history()).join(sums, "h")
+        if below is None:
+            joined = joined.withColumn("q", F.lit(1.0 / (level.count() + 1)))
+        else:
+            joined = joined.withColumn("t", tail()).join(
+                below.select(F.col("gram").alias("t"), F.col("p").alias("q")), "t")
+        below = stored(joined.select("gram", (
+            (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("q")) / F.col("total"))
+            .alias("p")), "backoff")
+    return below
+
+
+def compile_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of n-grams and histories, and log ratios toxic to ordinary.
+
+    That of an n-gram is the ratio of its probabilities, that of a history the
+    ratio of what the classes leave to the shared counts: an n-gram seen in neither
+    has that of its history, as the shared probability is the same for both.
     """
-    counts = counts.sort_values("gram", kind="stable")
-    names = counts["gram"].tolist()
-    backoff = shared_backoff(names)
-    sizes = [counts["n0"].tolist(), counts["n1"].tolist()]
-    totals, kinds, discounts = [Counter(), Counter()], [Counter(), Counter()], []
-    for y in (0, 1):
-        for g, n in zip(names, sizes[y]):
-            if n:
-                totals[y][g[:-1]] += n
-                kinds[y][g[:-1]] += 1
-        ones, twos = (sum(n == x for n in sizes[y]) for x in (1, 2))
-        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
-
-    def left(y: int, history: str) -> float:
-        """What the class leaves to the shared counts after ``history``."""
-        n = totals[y][history]
-        return discounts[y] * kinds[y][history] / n if n else 1.0
-
-    histories = {h: log(left(1, h) / left(0, h)) for h in set(totals[0]) | set(totals[1])}
-    ratios = {}
-    for g, n0, n1 in zip(names, *sizes):
-        h, below = g[:-1], backoff(g[1:])
-        p = [max(n - discounts[y], 0) / totals[y][h] + left(y, h) * below if totals[y][h] else below
-             for y, n in ((0, n0), (1, n1))]
-        ratios[g] = log(p[1] / p[0])
-    return ratios, histories
-
-
-def word_ratio(word: bytes, model) -> float:
-    ratios, histories = model
-    total = 0.0
-    for part in parts_of(word.decode()):
-        for g in grams(part):
-            found = ratios.get(g)
-            total += histories.get(g[:-1], 0.0) if found is None else found
-    return total
+    sums = counts.groupBy(history().alias("h")).agg(
+        *[F.sum(f"n{y}").alias(f"t{y}") for y in (0, 1)],
+        *[F.count_if(F.col(f"n{y}") > 0).alias(f"k{y}") for y in (0, 1)])
+    d = [absolute_discount(counts, f"n{y}") for y in (0, 1)]
+    left = [F.when(F.col(f"t{y}") > 0, d[y] * F.col(f"k{y}") / F.col(f"t{y}")).otherwise(1.0) for y in (0, 1)]
+    share = [F.when(F.col(f"t{y}") > 0, F.greatest(F.col(f"n{y}") - d[y], F.lit(0.0)) / F.col(f"t{y}"))
+             .otherwise(0.0) for y in (0, 1)]
+    shared = shared_backoff(counts).select(F.col("gram").alias("t"), F.col("p").alias("q"))
+    of_grams = (counts.withColumn("h", history()).join(sums, "h").withColumn("t", tail()).join(shared, "t")
+                .select(F.xxhash64("gram").alias("key"), F.log(
+                    (share[1] + left[1] * F.col("q")) / (share[0] + left[0] * F.col("q"))).alias("ratio")))
+    of_histories = sums.select(F.xxhash64("h").alias("key"), F.log(left[1] / left[0]).alias("ratio"))
+    found = of_grams.unionByName(of_histories).withColumn("ratio", F.col("ratio").cast("float")).toArrow()
+    keys, ratios = found["key"].to_numpy(), found["ratio"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], ratios[order]
+
+
+def hashes(texts: list[str]) -> np.ndarray:
+    """As Spark's xxhash64."""
+    return np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+
+
+def find(model: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios of the keys, 0 where there is none, and where there is one."""
+    known, ratios = model
+    if not len(known):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    there = known[at] == keys
+    return np.where(there, ratios[at], 0.0), there
+
+
+def word_ratios(words: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> list[float]:
+    """The difference of a word's log-likelihoods, for several words."""
+    spelled = [[g for part in parts_of(w.decode()) for g in grams(part)] for w in words]
+    flat = [g for s in spelled for g in s]
+    if not flat:
+        return [0.0] * len(words)
+    value, there = find(model, hashes(flat))
+    unseen = np.flatnonzero(~there)
+    value[unseen] = find(model, hashes([flat[i][:-1] for i in unseen]))[0]
+    sums = np.concatenate([[0.0], np.cumsum(value)])
+    ends = np.cumsum([0] + [len(s) for s in spelled])
+    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
 
 
 def statistics(text: str, words) -> list[float]:
@@ -182,22 +203,25 @@ def statistics(text: str, words) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     """Tables of the two models and the weights of the logistic curve."""
     chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
-    counts = count_grams(chosen.filter("part <> 0")).toPandas()
+    counts = stored(count_grams(chosen.filter("part <> 0")), "grams")
+    uses = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n0", "n1")]).first()
+    if not uses["n0"] or not uses["n1"]:
+        return "", None, None
     model = compile_model(counts)
     key = f"ratios:{uuid.uuid4().hex}"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = cache(key, lambda w: word_ratio(w, shared.value))
+        words = cache(key, lambda words_: word_ratios(words_, shared.value))
         for batch in batches:
             x = [statistics(t.as_py(), words) for t in batch.column(TEXT)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(ID), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], [ID, "y", "x"])
 
-    known = (chosen.filter("part = 0").mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
-             .sort_values([ID, "y"], kind="stable"))
+    known = (chosen.filter("part = 0").mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()
+             .to_pandas().sort_values([ID, "y"], kind="stable"))
     y = known["y"].to_numpy(np.float64)
-    if not counts["n0"].any() or not counts["n1"].any() or len(set(y)) < 2:
+    if len(set(y)) < 2:
         return key, shared, None
     x = np.array(known["x"].tolist())
     scale = np.maximum(x.std(0), 1e-9)
@@ -214,7 +238,7 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Colum
     def score(texts: pd.Series) -> pd.Series:
         if weights is None or not len(texts):
             return pd.Series(0.5, index=texts.index)
-        words = cache(key, lambda w: word_ratio(w, shared.value))
+        words = cache(key, lambda words_: word_ratios(words_, shared.value))
         x = np.array([statistics(t, words) for t in texts])
         return pd.Series(sigmoid(x @ weights[:-1] + weights[-1]), index=texts.index)
 

@@ -11,9 +11,12 @@ MOST_CACHED = 600_000
 
 
 class WordCache:
-    """``make`` of each word (bytes between ASCII white space), kept while there is room."""
+    """``make`` of each word (bytes between ASCII white space), kept while there is room.
 
-    def __init__(self, make: Callable[[bytes], object]):
+    ``make`` gets several words at once.
+    """
+
+    def __init__(self, make: Callable[[list[bytes]], list]):
         self.make, self.known = make, {}
 
     def look(self, words: list[bytes]) -> list:
@@ -23,21 +26,16 @@ class WordCache:
             pass
         if len(self.known) > MOST_CACHED:
             self.known.clear()
-        found = []
-        for w in words:
-            value = self.known.get(w)
-            if value is None:
-                value = self.make(w)
-                if len(w) <= LONGEST_CACHED:
-                    self.known[w] = value
-            found.append(value)
-        return found
+        missing = list({w for w in words if w not in self.known})
+        made = dict(zip(missing, self.make(missing)))
+        self.known.update((w, v) for w, v in made.items() if len(w) <= LONGEST_CACHED)
+        return [self.known[w] if w in self.known else made[w] for w in words]
 
 
 _CACHES: dict[str, WordCache] = {}
 
 
-def cache(key: str, make: Callable[[bytes], object]) -> WordCache:
+def cache(key: str, make: Callable[[list[bytes]], list]) -> WordCache:
     """This worker's cache for one model; the caches of earlier models go."""
     if key not in _CACHES:
         for old in [k for k in _CACHES if k.split(":")[0] == key.split(":")[0]]:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,28 +79,58 @@ def test_held_out_accuracy_on_the_given_table(spark, module, name, least):
     assert np.mean([r.predicted == truth[r.doc_id] for r in found]) >= least
 
 
-def test_shared_backoff_is_a_distribution():
-    seen = sorted({g for w in ("idiot", "idea", "is", "in", "the", "then") for g in toxicity.grams(w)})
-    p = toxicity.shared_backoff(seen)
-    letters = {g[-1] for g in seen}
-    unseen = 1 / (len(letters) + 1)
-    for history in ("", "i", "id", toxicity.START + "i", toxicity.START * 4 + "i", "qq"):
-        total = sum(p(history + c) for c in letters) + p(history + "\x00")
-        assert total == pytest.approx(1), history
-    assert p("\x00") <= unseen
+def brute_model(counts):
+    """The same two models with dictionaries, as a function of (history, character)."""
+    order = toxicity.ORDER
+    level = set(counts)
+    types = {}
+    for k in range(order - 1, 0, -1):
+        types[k] = Counter(g[1:] for g in level)
+        level = set(types[k])
 
+    def discount(values):
+        ones, twos = (sum(v == x for v in values) for x in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
 
-def test_word_ratios_favour_words_of_one_class():
-    import pandas as pd
+    def shared(gram):
+        k, h = len(gram), gram[:-1]
+        q = shared(gram[1:]) if k > 1 else 1 / (len(types[1]) + 1)
+        own = {g: n for g, n in types[k].items() if g[:-1] == h}
+        if not own:
+            return q
+        d = discount(types[k].values())
+        return (max(own.get(gram, 0) - d, 0) + d * len(own) * q) / sum(own.values())
 
+    def probability(y, gram):
+        own = {g: n[y] for g, n in counts.items() if g[:-1] == gram[:-1] and n[y]}
+        if not own:
+            return shared(gram[1:])
+        d = discount([n[y] for n in counts.values()])
+        return (max(own.get(gram, 0) - d, 0) + d * len(own) * shared(gram[1:])) / sum(own.values())
+
+    return probability
+
+
+def test_word_ratios_against_brute_force(spark):
     counts = {}
-    for word, n0, n1 in [("idiot", 0, 30), ("the", 90, 90), ("then", 60, 50), ("idea", 30, 30), ("odd", 1, 0)]:
+    for word, n0, n1 in [("idiot", 0, 30), ("the", 90, 90), ("then", 60, 50), ("idea", 30, 30), ("odd", 1, 0),
+                         ("tho", 2, 1), ("od", 1, 2)]:
         for g in toxicity.grams(word):
             a, b = counts.get(g, (0, 0))
             counts[g] = (a + n0, b + n1)
-    model = toxicity.compile_model(pd.DataFrame([(g, *n) for g, n in counts.items()], columns=["gram", "n0", "n1"]))
-    ratio = lambda w: toxicity.word_ratio(w, model)
-    assert ratio(b"IDIOT!!") > 1.5 > abs(ratio(b"the")) and ratio(b"idiotic") > 0.5 and ratio(b"") == 0
+    model = toxicity.compile_model(spark.createDataFrame(
+        [(g, *n) for g, n in counts.items()], "gram string, n0 long, n1 long"))
+    p = brute_model(counts)
+    words = [b"idiot", b"IDIOT!!", b"the", b"idiotic", b"odds", b"", b"quite", b"then-idea"]
+    want = [sum(np.log(p(1, g) / p(0, g)) for part in toxicity.parts_of(w.decode()) for g in toxicity.grams(part))
+            for w in words]
+    found = toxicity.word_ratios(words, model)
+    assert found == pytest.approx(want, abs=1e-5)
+    assert found[0] > 1.5 > abs(found[2]) and found[5] == 0
+    letters = {g[-1] for g in counts} | {"\x00"}  # and one for all others
+    for y in (0, 1):
+        for h in (toxicity.START * 6, toxicity.START * 5 + "i", toxicity.START * 4 + "zz"):
+            assert sum(p(y, h + c) for c in letters) == pytest.approx(1)
 
 
 def test_fitting():
