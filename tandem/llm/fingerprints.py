@@ -1,13 +1,15 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is the weighted set of its words (runs of anything but ASCII white space,
-A-Z in lower case), the weight being how often a word occurs, its words hashed to
-``CELLS`` cells. For each of ``SAMPLES`` samples a cell with weight w draws, from
-its own fixed numbers r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1),
+A-Z in lower case), the weight being how often a word occurs. For each of ``SAMPLES``
+samples a word with weight w draws, from its own fixed numbers r, c ~ Gamma(2, 1) and
+b ~ Uniform(0, 1),
 
     t = floor(ln w / r + b),    ln a = ln c - r (t - b + 1),
 
-and the cell of least a is the sample, together with its t. Two texts agree in a
+and the word of least a is the sample, together with its t. The numbers come from a
+generator that counts on from the word's 64-bit hash, so every distinct word has its
+own, in any number, alike in every worker. Two texts agree in a
 sample with a probability equal to their generalised Jaccard similarity, the sum
 of the smaller over the sum of the larger weights. A fingerprint is 16 bits a
 sample, in hexadecimal; likeness is the share of equal samples, corrected for
@@ -23,62 +25,117 @@ itself; an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
-from zlib import crc32
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import ID, TEXT, id_and_text, ordered_buckets, task_count
 
-CELLS, SAMPLES, SEED = 1 << 15, 64, 20240229
+CELLS, SAMPLES, SEED = 1 << 17, 64, 20240229
+PART = 2048
 SHARD_BYTES = 16 << 20
 
 
-@lru_cache(maxsize=1)
-def numbers(seed: int = SEED):
-    """The fixed random numbers of each cell and sample, alike in every worker."""
-    made = np.random.Generator(np.random.PCG64(seed))
-    shape = (CELLS, SAMPLES)
-    r = made.gamma(2.0, 1.0, shape).astype(np.float32)
-    log_c = np.log(made.gamma(2.0, 1.0, shape)).astype(np.float32)
-    b = made.random(shape, np.float32)
-    return r, 1 / r, log_c, b
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The output step of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+STEPS = (np.arange(1, 3 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, 1, SAMPLES)
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers above 0 and below 1, exact in 32-bit floats."""
+    step = np.float32(2.0 ** -23)
+    return tuple((bits.astype(np.float32) + np.float32(0.5)) * step for bits in (
+        (x >> np.uint64(41)).astype(np.uint32), x.astype(np.uint32) >> np.uint32(9)))
+
+
+def numbers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and b of each key and sample."""
+    r, c, b = (halves(mixed(keys[:, None] + steps)) for steps in STEPS)
+    return -np.log(r[0] * r[1]), np.log(-np.log(c[0] * c[1])), b[0]
+
+
+class Known:
+    """The numbers of words met before, of up to CELLS words; when full it starts anew."""
+
+    def __init__(self):
+        self.places: dict[bytes, int] = {}
+        self.keys = np.empty(CELLS, np.uint64)
+        self.table = [np.empty((CELLS, SAMPLES), np.float32) for _ in range(3)]
+
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys and numbers of distinct words, of no more than PART of them."""
+        find = self.places.get
+        at = np.array([find(w, -1) for w in words])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.places) + len(new) > CELLS:
+                self.places.clear()
+                return self.look(words)
+            fresh = range(len(self.places), len(self.places) + len(new))
+            at[new] = fresh
+            self.places.update(zip([words[i] for i in new.tolist()], fresh))
+            self.keys[at[new]] = keys_of([words[i] for i in new.tolist()])
+            for held, made in zip(self.table, numbers(self.keys[at[new]])):
+                held[at[new]] = made
+        return self.keys[at], [held[at] for held in self.table]
+
+
+KNOWN: list[Known] = []
+
+
+def keys_of(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
 
 
 def weights(text: str) -> np.ndarray:
-    """How often each cell occurs."""
-    cells = [crc32(w) & (CELLS - 1) for w in text.encode().lower().split()]
-    return np.bincount(np.array(cells, np.int64), minlength=CELLS)
+    """How often each distinct word occurs."""
+    return np.array(list(Counter(text.encode().lower().split()).values()), np.int64)
 
 
-def samples(counts: np.ndarray) -> np.ndarray:
-    """The SAMPLES 16-bit samples of a weighted set."""
-    cells = np.flatnonzero(counts)
-    if not len(cells):
+def least(counts: np.ndarray, look: Callable[[int, int], tuple]) -> np.ndarray:
+    """The SAMPLES 16-bit samples; ``look`` has the keys and numbers of a range of elements."""
+    if not len(counts):
         return np.zeros(SAMPLES, np.uint16)
-    best, chosen = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64)
-    r, inverse, log_c, b = numbers()
-    for a in range(0, len(cells), 4096):  # a long text's cells in parts
-        some = cells[a:a + 4096]
-        log_w = np.log(counts[some]).astype(np.float32)[:, None]
-        t = np.floor(log_w * inverse[some] + b[some])
-        log_a = log_c[some] - r[some] * (t - b[some] + 1)
+    best, chosen = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
+    every = np.arange(SAMPLES)
+    for a in range(0, len(counts), PART):  # a long text's words in parts
+        some = counts[a:a + PART]
+        keys, (r, log_c, b) = look(a, a + len(some))
+        log_w = np.log(some).astype(np.float32)[:, None]
+        t = np.floor(log_w / r + b)
+        log_a = log_c - r * (t - b + 1)
         at = log_a.argmin(0)
-        least = log_a[at, np.arange(SAMPLES)]
-        better = least < best
-        best[better] = least[better]
-        mixed = some[at] * 1_000_003 + t[at, np.arange(SAMPLES)].astype(np.int64) * 7919
-        chosen[better] = mixed[better]
-    mixed = chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(48)).astype(np.uint16)
+        found = log_a[at, every]
+        better = found < best
+        best[better] = found[better]
+        drawn = mixed(keys[at] + mixed(t[at, every].astype(np.int64).astype(np.uint64)))
+        chosen[better] = drawn[better]
+    return (chosen >> np.uint64(48)).astype(np.uint16)
+
+
+def samples(counts: np.ndarray) -> np.ndarray:
+    """The samples of a weighted set whose elements are positions."""
+    cells = np.flatnonzero(counts)
+    keys = mixed(cells.astype(np.uint64))
+    return least(counts[cells], lambda a, b: (keys[a:b], numbers(keys[a:b])))
 
 
 def fingerprint(text: str) -> np.ndarray:
-    return samples(weights(text))
+    if not KNOWN:
+        KNOWN.append(Known())
+    bag = Counter(text.encode().lower().split())
+    words = list(bag)
+    return least(np.array(list(bag.values()), np.int64), lambda a, b: KNOWN[0].look(words[a:b]))
 
 
 def as_hex(samples_: np.ndarray) -> str:

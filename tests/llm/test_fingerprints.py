@@ -56,3 +56,25 @@ def test_one_row_and_no_row(spark, nothing):
     assert edited(nothing).count() == 0
     row = edited(documents(spark, [(5, "one two three")])).first()
     assert row.near_next == 1.0 and row.n_chars == 13
+
+
+def test_likeness_of_texts_with_over_30_000_distinct_words():
+    words = [f"w{i}" for i in range(120_000)]
+    for common in (0, 20_000):  # of 40,000 in each
+        x, y = " ".join(words[:40_000]), " ".join(words[40_000 - common:80_000 - common])
+        true = common / (80_000 - common)
+        assert abs(likeness(fingerprint(x), fingerprint(y)) - true) < (0.2 if common else 0.05)
+
+
+def test_numbers_have_their_distributions_and_do_not_depend_on_what_came_before(monkeypatch):
+    from tandem.llm import fingerprints as module
+
+    r, log_c, b = module.numbers(module.keys_of([b"w%d" % i for i in range(3000)]))
+    for found in (r, np.exp(log_c)):  # Gamma(2, 1)
+        assert abs(found.mean() - 2) < 0.02 and abs(found.var() - 2) < 0.05 and (found > 0).all()
+    assert abs(b.mean() - 0.5) < 0.005 and abs(b.var() - 1 / 12) < 0.002
+    texts = random_texts(60, words=4000, longest=3000)
+    first = [as_hex(fingerprint(t)) for t in texts]
+    monkeypatch.setattr(module, "CELLS", 2500)  # full every few texts
+    monkeypatch.setattr(module, "KNOWN", [])
+    assert [as_hex(fingerprint(t)) for t in reversed(texts)] == first[::-1]
