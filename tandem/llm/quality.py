@@ -9,7 +9,8 @@ may be broadcast. A document is the mean and deviation of its cells' vectors and
 product of neighbours. A
 network of one hidden layer, in numpy on the driver, learns from at most
 ``SAMPLE_ROWS`` labelled documents a label; a quarter of them, not learned from,
-sets the temperature that makes its outputs probabilities.
+sets the temperature that makes its outputs probabilities. Both weigh a document by
+how many of its label it stands for, so a score does not depend on that limit.
 
 Labels, language, source and id are no inputs of a score. Defined cases: null is
 the empty text, which has the zero vector and a score like any; without rows of
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import ID, TEXT, body, crc_of_id, id_and_text
-from tandem.llm.labelled import sample, sigmoid, temperature
+from tandem.llm.labelled import even, sample, sigmoid, temperature
 from tandem.llm.words import LETTERS, WordCache, cache
 
 CELLS, SIZE, HIDDEN, SEED = 1 << 15, 32, 24, 7
@@ -158,9 +159,11 @@ class Network:
         return np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 64,
-            rate: float = 0.003, decay: float = 1e-3) -> None:
-        """Adam on the cross-entropy of logits, with weight decay."""
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+            rate: float = 0.003, decay: float = 1e-3, weight: np.ndarray | None = None) -> None:
+        """Adam on the weighted cross-entropy of logits, with weight decay."""
+        weight = np.ones(len(x)) if weight is None else even(weight)
+        self.mean = np.average(x, 0, weight)
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, 0, weight)) + 1e-6
         x = (x - self.mean) / self.scale
         made = np.random.Generator(np.random.PCG64(SEED))
         first, second, step = [0.0] * 4, [0.0] * 4, 0
@@ -170,7 +173,7 @@ class Network:
                 part = order[a:a + batch]
                 w1, b1, w2, b2 = self.w
                 hidden = np.tanh(x[part] @ w1 + b1)
-                error = (sigmoid(hidden @ w2 + b2) - y[part]) / len(part)
+                error = weight[part] * (sigmoid(hidden @ w2 + b2) - y[part]) / len(part)
                 back = error[:, None] * w2 * (1 - hidden ** 2)
                 slopes = [x[part].T @ back + decay * w1, back.sum(0),
                           hidden.T @ error + decay * w2, error.sum(keepdims=True)]
@@ -196,18 +199,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
             pooled = [pool(read_cells(words, t.as_py()), shared.value) for t in batch.column(TEXT)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y"), batch.column("part"), pa.array(pooled, pa.list_(pa.float64())),
-                 batch.column(ID)], ["y", "part", "x", ID])
+                 batch.column(ID), batch.column("weight")], ["y", "part", "x", ID, "weight"])
 
     known = (sample(docs, labels, "quality", FOLDS, HELD_OUT, rows)
-             .mapInArrow(run, "y int, part int, x array<double>, doc_id long").toArrow().to_pandas())
+             .mapInArrow(run, "y int, part int, x array<double>, doc_id long, weight double").toArrow().to_pandas())
     known = known.sort_values([ID, "y"], kind="stable")  # the order of rows must not matter
-    x, y = np.array(known["x"].tolist()), known["y"].to_numpy(np.float64)
+    x, y, weight = np.array(known["x"].tolist()), *(known[c].to_numpy(np.float64) for c in ("y", "weight"))
     learn = known["part"].to_numpy() != 0
     if not all(len(set(y[part])) == 2 for part in (learn, ~learn)):
         return vectors, None
     network = Network(x.shape[1])
-    network.fit(x[learn], y[learn])
-    network.heat = temperature(network.logits(x[~learn]), y[~learn])
+    network.fit(x[learn], y[learn], weight=weight[learn])
+    network.heat = temperature(network.logits(x[~learn]), y[~learn], weight[~learn])
     return vectors, network
 
 

@@ -8,7 +8,8 @@ in either class gets the shared probability in both and decides nothing, and a
 new word is judged by the parts it shares with known ones. A text is compared by
 the differences of its words' log-likelihoods, normalised by its length (see
 ``statistics``); a logistic curve over them, fitted on a quarter of the sample that
-was not counted, makes a probability.
+was not counted, makes a probability. It weighs a document by how many of its label
+it stands for; the models are of one class each and need no weights.
 
 The models come from at most ``SAMPLE_ROWS`` labelled documents a class, counted
 by Spark; their size is bounded by the sample. Labels, language, source and id are
@@ -216,16 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
         for batch in batches:
             x = [statistics(t.as_py(), words) for t in batch.column(TEXT)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ID), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], [ID, "y", "x"])
+                [batch.column(ID), batch.column("y"), batch.column("weight"),
+                 pa.array(x, pa.list_(pa.float64()))], [ID, "y", "weight", "x"])
 
-    known = (chosen.filter("part = 0").mapInArrow(run, "doc_id long, y int, x array<double>").toArrow()
+    known = (chosen.filter("part = 0").mapInArrow(run, "doc_id long, y int, weight double, x array<double>").toArrow()
              .to_pandas().sort_values([ID, "y"], kind="stable"))
-    y = known["y"].to_numpy(np.float64)
+    y, weight = (known[c].to_numpy(np.float64) for c in ("y", "weight"))
     if len(set(y)) < 2:
         return key, shared, None
     x = np.array(known["x"].tolist())
-    scale = np.maximum(x.std(0), 1e-9)
-    weights = logistic(x / scale, y)
+    scale = np.maximum(np.sqrt(np.average((x - np.average(x, 0, weight)) ** 2, 0, weight)), 1e-9)
+    weights = logistic(x / scale, y, weight=weight)
     weights[:-1] /= scale
     return key, shared, weights
 

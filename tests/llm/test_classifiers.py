@@ -151,3 +151,23 @@ def test_contexts_against_brute_force(spark):
                 if i != j:
                     want[c] += index[cells[j]]
     assert (quality.contexts(documents(spark, list(enumerate(texts)))) == want).all()
+
+
+@pytest.mark.parametrize("module,label", [(quality, 1), (toxicity, 2)])
+def test_scores_do_not_depend_on_how_many_rows_of_a_label_are_taken(spark, module, label):
+    """Half of the texts of one label, a twelfth of the other carry a sign; a score is its probability."""
+    rng = np.random.default_rng(6)
+    docs, labels, signs = [], [], {}
+    for i, t in enumerate(random_texts(6000, longest=30)):
+        y = int(rng.random() < (0.88 if module is quality else 0.12))
+        common = 1 if module is quality else 0
+        signs[i] = rng.random() < (1 / 12 if y == common else 1 / 2)
+        docs.append((i, f"{t} plain words " + ("grobbler grobbling " * 3 if signs[i] else "to end")))
+        labels.append((i, y, y))
+    docs, labels = documents(spark, docs), spark.createDataFrame(labels, LABELS)
+    means = []
+    for rows in (10_000, 400):
+        found = docs.withColumn("s", module.scorer(docs, labels, rows)).select("doc_id", "s").collect()
+        means.append([np.mean([r.s for r in found if signs[r.doc_id] == x]) for x in (False, True)])
+    # 400 rows of a label are noisy; without weights the means move by 0.3
+    assert np.allclose(means[0], means[1], atol=0.2)
