@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import (
-    bpe, brown, exact, fingerprints, idfiles, packing, quality, sharding, simhash, toxicity)
+    bpe, brown, exact, fingerprints, idfiles, packing, quality, search, sharding, simhash, suffixes,
+    toxicity, variants)
 from tandem.llm.common import ID, read_table
 from tandem.session import scratch_path
 
@@ -116,7 +117,42 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return variants.group(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return search.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_suffix_dedup(spark, sf_dir):
+    cut = suffixes.dedup(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        ID, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TERMS = """regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS.format("coalesce(text, '')")} AS terms FROM documents),
+        whole AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+        tf AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (
+            SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, n, term),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tf, whole GROUP BY term, docs),
+        asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM benchmark),
+        scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (
+                1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // length)))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN tf USING (term), whole GROUP BY item_id, doc_id)
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank
+            FROM scores WHERE score > 0) WHERE rank <= 10""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
