@@ -114,14 +114,14 @@ class Grams:
         behind it stays unless a gram that begins before or in the edit ends where
         it ends or later; all but the last character of that one is frequent.
         """
-        worst = 0
+        worst = first = 0
         for i in range(1, len(word)):
+            while first < len(grams) and grams[first][1] <= i:
+                first += 1
             for behind in (i, i + 1) if i < len(word) - 1 else (i,):  # an insertion before i, a change of i
                 lost = 0
-                for start, end in grams:
-                    if start < behind:
-                        lost += end > i
-                    elif end - behind < self.longest and word[behind:end - 1] in self.ends:
+                for start, end in grams[first:first + 2 * self.longest + 1]:
+                    if start < behind or end - behind < self.longest and word[behind:end - 1] in self.ends:
                         lost += 1
                 worst = max(worst, lost)
         return worst
