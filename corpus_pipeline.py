@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import exact, nearcopies, packing, quality, toxicity
+from tandem.llm import exact, packing, quality, simhash, toxicity
 from tandem.llm.common import read_table, stored
 from tandem.llm.queries import ship, vocabulary
 
@@ -41,10 +41,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one of smallest doc_id.
 
-    Near copies: a Jaccard similarity of at least 0.8 of their five-word shingles.
+    Near copies: SimHash fingerprints of four-word shingles that differ in at most four bits.
     """
     ship(spark)
-    return nearcopies.keep(docs)
+    return simhash.keep(docs, words=simhash.WORDS, bits=simhash.BITS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
