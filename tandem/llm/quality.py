@@ -206,11 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
     known = known.sort_values([ID, "y"], kind="stable")  # the order of rows must not matter
     x, y, weight = np.array(known["x"].tolist()), *(known[c].to_numpy(np.float64) for c in ("y", "weight"))
     learn = known["part"].to_numpy() != 0
-    if not all(len(set(y[part])) == 2 for part in (learn, ~learn)):
+    if len(set(y)) < 2:
         return vectors, None
     network = Network(x.shape[1])
-    network.fit(x[learn], y[learn], weight=weight[learn])
-    network.heat = temperature(network.logits(x[~learn]), y[~learn], weight[~learn])
+    if all(len(set(y[part])) == 2 for part in (learn, ~learn)):
+        network.fit(x[learn], y[learn], weight=weight[learn])
+        network.heat = temperature(network.logits(x[~learn]), y[~learn], weight[~learn])
+    else:  # too few labelled rows to set a quarter aside
+        network.fit(x, y, weight=weight)
     return vectors, network
 
 
@@ -233,12 +236,11 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Colum
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    return docs.withColumn("__score", scorer(docs, labels)).select(
+    return docs.select(
         F.col(ID).cast("long").alias(ID), (crc_of_id() % FOLDS == HELD_OUT).alias("held_out"),
-        F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+        scorer(docs, labels).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
-    return docs.withColumn("__score", scorer(docs, labels)).filter(
-        F.col("__score") >= threshold).select(*docs.columns)
+    return docs.filter(scorer(docs, labels) >= threshold)

@@ -14,7 +14,8 @@ it stands for; the models are of one class each and need no weights.
 The models come from at most ``SAMPLE_ROWS`` labelled documents a class, counted
 by Spark; their size is bounded by the sample. Labels, language, source and id are
 no inputs of a score. Defined cases: null is the empty text, which counts as one
-word of difference 0; without rows of both labels to learn from every score is 0.5; texts
+word of difference 0; if the quarter set aside or the rest has one label only, the
+whole sample takes its place; without rows of both labels to learn from every score is 0.5; texts
 are read whole; equal texts score alike; an empty table gives no rows. ``keep``
 returns all columns, whatever their names.
 """
@@ -30,7 +31,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from tandem.llm.common import ID, TEXT, body, crc_of_id, stored
 from tandem.llm.labelled import logistic, sample, sigmoid
@@ -41,7 +41,6 @@ START, END = "\x02", "\x03"
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-LONGEST = 256
 
 
 def parts_of(word: str) -> list[str]:
@@ -148,18 +147,34 @@ def compile_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
              .otherwise(0.0) for y in (0, 1)]
     shared = shared_backoff(counts).select(F.col("gram").alias("t"), F.col("p").alias("q"))
     of_grams = (counts.withColumn("h", history()).join(sums, "h").withColumn("t", tail()).join(shared, "t")
-                .select(F.xxhash64("gram").alias("key"), F.log(
+                .select("gram", F.log(
                     (share[1] + left[1] * F.col("q")) / (share[0] + left[0] * F.col("q"))).alias("ratio")))
-    of_histories = sums.select(F.xxhash64("h").alias("key"), F.log(left[1] / left[0]).alias("ratio"))
+    of_histories = sums.select(F.col("h").alias("gram"), F.log(left[1] / left[0]).alias("ratio"))
     found = of_grams.unionByName(of_histories).withColumn("ratio", F.col("ratio").cast("float")).toArrow()
-    keys, ratios = found["key"].to_numpy(), found["ratio"].to_numpy()
+    if not found.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, np.float64)
+    texts, ratios = found["gram"].to_pylist(), found["ratio"].to_numpy().astype(np.float64)
+    codes, size = code_points(texts)
+    begins = np.cumsum(size) - size
+    keys = np.where(size == ORDER, gram_keys(codes, ORDER)[begins], gram_keys(codes, ORDER - 1)[begins])
     order = np.argsort(keys, kind="stable")
     return keys[order], ratios[order]
 
 
-def hashes(texts: list[str]) -> np.ndarray:
-    """As Spark's xxhash64."""
-    return np.array([xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters one after the other, and how many each text has."""
+    return (np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"),
+            np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def gram_keys(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` characters from each place on, as if blanks followed the end."""
+    padded = np.concatenate([codes, np.full(size, 32, np.uint32)]).astype(np.uint64)
+    h = np.full(len(codes), size, np.uint64)
+    for k in range(size):
+        h = (h ^ padded[k:k + len(codes)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def find(model: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,17 +188,24 @@ def find(model: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nda
 
 
 def word_ratios(words: list[bytes], model: tuple[np.ndarray, np.ndarray]) -> list[float]:
-    """The difference of a word's log-likelihoods, for several words."""
-    spelled = [[g for part in parts_of(w.decode()) for g in grams(part)] for w in words]
-    flat = [g for s in spelled for g in s]
-    if not flat:
+    """The difference of a word's log-likelihoods, for several words, each added up by itself."""
+    parts = [parts_of(w.decode()) for w in words]
+    lines = [START * (ORDER - 1) + part + END for found in parts for part in found]
+    if not lines:
         return [0.0] * len(words)
-    value, there = find(model, hashes(flat))
+    codes, size = code_points(lines)
+    size -= ORDER - 1  # n-grams of a part
+    begins = np.cumsum(size + ORDER - 1) - size - ORDER + 1
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) + np.repeat(begins - ends + size, size)
+    value, there = find(model, gram_keys(codes, ORDER)[at])
     unseen = np.flatnonzero(~there)
-    value[unseen] = find(model, hashes([flat[i][:-1] for i in unseen]))[0]
-    sums = np.concatenate([[0.0], np.cumsum(value)])
-    ends = np.cumsum([0] + [len(s) for s in spelled])
-    return (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+    value[unseen] = find(model, gram_keys(codes, ORDER - 1)[at[unseen]])[0]
+    of_parts = np.add.reduceat(value, ends - size).tolist()
+    out, next_part = [], iter(of_parts)
+    for found in parts:
+        out.append(sum((next(next_part) for _ in found), 0.0))
+    return out
 
 
 def statistics(text: str, words) -> list[float]:
@@ -204,9 +226,12 @@ def statistics(text: str, words) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     """Tables of the two models and the weights of the logistic curve."""
     chosen = sample(docs, labels, "toxic", FOLDS, HELD_OUT, rows)
-    counts = stored(count_grams(chosen.filter("part <> 0")), "grams")
-    uses = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n0", "n1")]).first()
-    if not uses["n0"] or not uses["n1"]:
+    for counted in (chosen.filter("part <> 0"), chosen):  # of few labelled rows, none is set aside
+        counts = stored(count_grams(counted), "grams")
+        uses = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n0", "n1")]).first()
+        if uses["n0"] and uses["n1"]:
+            break
+    else:
         return "", None, None
     model = compile_model(counts)
     key = f"ratios:{uuid.uuid4().hex}"
@@ -220,11 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
                 [batch.column(ID), batch.column("y"), batch.column("weight"),
                  pa.array(x, pa.list_(pa.float64()))], [ID, "y", "weight", "x"])
 
-    known = (chosen.filter("part = 0").mapInArrow(run, "doc_id long, y int, weight double, x array<double>").toArrow()
-             .to_pandas().sort_values([ID, "y"], kind="stable"))
+    def read(rows: DataFrame) -> pd.DataFrame:
+        found = rows.mapInArrow(run, "doc_id long, y int, weight double, x array<double>").toArrow().to_pandas()
+        return found.sort_values([ID, "y"], kind="stable")
+
+    known = read(chosen.filter("part = 0"))
+    if known["y"].nunique() < 2:  # few labelled rows: the curve is fitted on those that were counted, too
+        known = read(chosen)
     y, weight = (known[c].to_numpy(np.float64) for c in ("y", "weight"))
-    if len(set(y)) < 2:
-        return key, shared, None
     x = np.array(known["x"].tolist())
     scale = np.maximum(np.sqrt(np.average((x - np.average(x, 0, weight)) ** 2, 0, weight)), 1e-9)
     weights = logistic(x / scale, y, weight=weight)
@@ -249,12 +277,11 @@ def scorer(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Colum
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
-    return docs.withColumn("__score", scorer(docs, labels)).select(
+    return docs.select(
         F.col(ID).cast("long").alias(ID), (crc_of_id() % FOLDS == HELD_OUT).alias("held_out"),
-        F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+        scorer(docs, labels).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    return docs.withColumn("__score", scorer(docs, labels)).filter(
-        F.col("__score") < threshold).select(*docs.columns)
+    return docs.filter(scorer(docs, labels) < threshold)

@@ -79,6 +79,38 @@ def test_held_out_accuracy_on_the_given_table(spark, module, name, least):
     assert np.mean([r.predicted == truth[r.doc_id] for r in found]) >= least
 
 
+@pytest.mark.parametrize("module,name", [(quality, "quality"), (toxicity, "toxic")])
+def test_few_labels_still_decide(spark, module, name):
+    """Both labels are known, but the quarter set aside may hold one only."""
+    odd = [i for i in range(60) if zlib.crc32(str(i).encode()) % module.FOLDS != module.HELD_OUT][5:7]
+    docs = [(i, f"plain words number {i} in a row " + ("grobbler grobbling " * 4 if i in odd else "to end"))
+            for i in range(60)]
+    rows = [(i, int(i not in odd), int(i in odd)) for i in range(60)]
+    scores = {r.doc_id: r.score for r in module.scores(documents(spark, docs), spark.createDataFrame(rows, LABELS)).collect()}
+    rare, rest = [scores[i] for i in odd], [s for i, s in scores.items() if i not in odd]
+    assert max(rare) < min(rest) if name == "quality" else min(rare) > max(rest)
+
+
+def test_a_word_counts_the_same_whatever_is_asked_with_it():
+    rng = np.random.default_rng(4)
+    words = [b"".join(rng.choice([b"a", b"b", b"\xc3\xa9"], 5)) for _ in range(3000)]
+    grams = sorted({g for w in words[::3] for p in toxicity.parts_of(w.decode()) for g in toxicity.grams(p)})
+    codes, size = toxicity.code_points(grams)
+    keys = toxicity.gram_keys(codes, toxicity.ORDER)[np.cumsum(size) - size]
+    model = (np.sort(keys), rng.normal(size=len(keys)))
+    alone = [toxicity.word_ratios([w], model)[0] for w in words]
+    assert toxicity.word_ratios(words, model) == alone
+    assert toxicity.word_ratios(words[::-1] + [b"", b"..."], model)[:3000] == alone[::-1]
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs, labels, _ = labelled(spark)
+    for module in (quality, toxicity):
+        a, b = ({r.doc_id: r.score for r in module.scores(d, labels).collect()}
+                for d in (docs.coalesce(1), docs.repartition(7, "text")))
+        assert a == pytest.approx(b, abs=1e-12)
+
+
 def brute_model(counts):
     """The same two models with dictionaries, as a function of (history, character)."""
     order = toxicity.ORDER
