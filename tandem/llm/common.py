@@ -29,6 +29,24 @@ def crc_of_id() -> Column:
     return F.crc32(F.coalesce(F.col(ID).cast("string"), F.lit("")).cast("binary"))
 
 
+def packed_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows as the one column ``row``, and ``more``: no name of theirs can clash.
+
+    ``rows.select("row.*")`` gives the rows back.
+    """
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), *more)
+
+
+def quoted(name: str) -> Column:
+    """The column of just this name, also if the name holds dots or quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hash_of_row(docs: DataFrame) -> Column:
+    """A hash over the columns that can be hashed, which orders rows that are alike otherwise."""
+    return F.xxhash64(*[quoted(c) for c, kind in docs.dtypes if "map" not in kind and kind != "variant"])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 

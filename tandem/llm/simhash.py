@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tandem.llm.common import ID, TEXT, body, id_and_text, join_groups, stored
+from tandem.llm.common import (
+    ID, TEXT, body, hash_of_row, id_and_text, join_groups, packed_rows, stored)
 from tandem.session import shuffle_partitions
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -338,12 +339,10 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS,
 def keep(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each component, the one of smallest doc_id."""
     kept = components(docs, words, bits).filter(F.col(ID).eqNullSafe(F.col("component_id"))).select(
-        F.coalesce(ID, F.lit(0)).alias("__id"), F.col(ID).isNull().alias("__none"),
-        F.col("mark").alias("__mark"), F.col("root").alias("__root")).distinct()
-    plain = [c for c, kind in docs.dtypes if "map" not in kind and kind != "variant"]
-    rows = docs.withColumns({
-        "__id": F.coalesce(F.col(ID).cast("long"), F.lit(0)), "__none": F.col(ID).isNull(),
-        "__mark": F.xxhash64(body()), "__order": F.xxhash64(*plain)})
-    first = F.row_number().over(W.partitionBy("__root").orderBy("__order"))
-    return (rows.join(kept, ["__id", "__none", "__mark"])
-            .withColumn("__row", first).filter("__row = 1").select(*docs.columns))
+        F.coalesce(ID, F.lit(0)).alias("id"), F.col(ID).isNull().alias("none"), "mark", "root").distinct()
+    rows = packed_rows(docs, F.coalesce(F.col(ID).cast("long"), F.lit(0)).alias("id"),
+                       F.col(ID).isNull().alias("none"), F.xxhash64(body()).alias("mark"),
+                       hash_of_row(docs).alias("order"))
+    first = F.row_number().over(W.partitionBy("root").orderBy("order"))
+    return (rows.join(kept, ["id", "none", "mark"])
+            .withColumn("at", first).filter("at = 1").select("row.*"))

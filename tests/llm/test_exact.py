@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 import uuid
 
 import duckdb
@@ -45,6 +48,54 @@ def test_the_index_persists_and_meets_new_rows(spark):
     spark.sql(f"DROP TABLE {index.name}")
 
 
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from tandem.llm.exact import DigestIndex, digest_rows
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
+index = DigestIndex(spark, "known_digests", buckets=int(sys.argv[3]), path=sys.argv[1])
+index.add(digest_rows(spark.createDataFrame(eval(sys.argv[4]), "doc_id long, text string")))
+print("FOUND", index.buckets, sorted((r.keep_id for r in index.read().collect())))
+"""
+
+
+def test_the_index_outlives_its_session(tmp_path):
+    root, found = os.path.dirname(os.path.dirname(os.path.dirname(__file__))), []
+    for buckets, rows in ((3, [(1, "a"), (2, "b")]), (5, [(9, "b"), (7, "c")])):
+        run = subprocess.run([sys.executable, "-c", SESSION, str(tmp_path / "index"), str(tmp_path / "house"),
+                              str(buckets), repr(rows)], capture_output=True, text=True, cwd=tmp_path,
+                             env={**os.environ, "PYTHONPATH": root}, timeout=300)
+        found.append([line for line in run.stdout.splitlines() if line.startswith("FOUND")] or run.stderr[-2000:])
+        if len(found) == 1:
+            files = {f.name for f in (tmp_path / "index").glob("*.parquet")}
+    assert found == [["FOUND 3 [1, 2]"], ["FOUND 3 [1, 2, 7]"]]
+    assert files and files < {f.name for f in (tmp_path / "index").glob("*.parquet")}
+
+
+def test_a_folder_of_something_else_is_refused(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError, match="no digest index"):
+        DigestIndex(spark, f"digests_{uuid.uuid4().hex}", path=f"{tmp_path}/other")
+    assert spark.read.parquet(f"{tmp_path}/other").count() == 3
+
+
+def test_columns_of_any_name_come_back(spark):
+    from tandem.llm import simhash
+
+    rows = [(1, "same text of a few words", "x", 1, "p"), (2, "same text of a few words", "y", 2, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `meta.x` int, order string")
+    assert [tuple(r) for r in keep(docs).collect()] == [rows[1]]
+    assert [tuple(r) for r in simhash.keep(docs).collect()] == [rows[0]]
+    assert keep(docs).columns == simhash.keep(docs).columns == docs.columns
+
+
+def test_no_table_is_left_behind(spark, edges):
+    before = {t.name for t in spark.catalog.listTables()}
+    mark(edges).count(), keep(edges).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_no_python_on_the_way(edges):
     plan = mark(edges)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
