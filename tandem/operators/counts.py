@@ -53,12 +53,21 @@ def lookup_cells(cells: DataFrame, table: DataFrame, value: str = "p") -> DataFr
 
 
 def upsert_counts(base: DataFrame, updates: DataFrame, value: str = "n",
-                  version: str | None = None) -> DataFrame:
-    """Overwrite cells: the update with the highest ``version`` wins over the base."""
-    order = F.lit(1).cast("long") if version is None else F.col(version).cast("long") + 1
-    stacked = base.select(*CELL, value, F.lit(0).cast("long").alias("_v")).unionByName(
-        updates.select(*CELL, value, order.alias("_v")))
-    return stacked.groupBy(*CELL).agg(F.max_by(value, "_v").alias(value))
+                  version: str | None = None, arrival: str | None = None) -> DataFrame:
+    """Overwrite cells: the update with the highest ``version`` wins over the base.
+
+    Of several updates of a cell in one version the one that arrived last wins:
+    ``arrival`` numbers them. Without it the largest value does, so that the result is
+    the same however the rows are spread.
+    """
+    def number(column: str | None) -> Column:
+        return F.lit(1).cast("long") if column is None else F.col(column).cast("long")
+
+    stacked = base.select(*CELL, value, F.lit(False).alias("_new"), F.lit(0).cast("long").alias("_v"),
+                          F.lit(0).cast("long").alias("_at")).unionByName(
+        updates.select(*CELL, value, F.lit(True).alias("_new"), number(version).alias("_v"), number(arrival).alias("_at")))
+    last = F.max(F.struct("_new", "_v", "_at", F.col(value).alias("_value")))
+    return stacked.groupBy(*CELL).agg(last.alias("_last")).select(*CELL, F.col("_last._value").alias(value))
 
 
 def with_shard(bitext: DataFrame, n_shards: int, key: str = "sid") -> DataFrame:

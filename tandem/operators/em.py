@@ -1,13 +1,10 @@
 """Estimation of the lexical translation table t(f|e) by EM.
 
-Rows of the training frames, called pairs, are (sentence, source word, target
-word) with their multiplicities. Pairs are laid out once, cached sorted, and
-never move again; a round only moves the table, which is smaller.
-
-* ``broadcast``: pairs grouped by sentence block, the table goes to every task.
-* ``shuffle``: pairs grouped by target word, and the table with them; a target word with a large share of
-  all pairs is cut into several groups, and its column of the table is copied to
-  each. Needs no table to fit anywhere.
+* ``shuffle`` (and ``auto``): compact blocks of sentences by target word, see
+  :mod:`tandem.operators.blocks`. A round writes one bucketed table and moves one number
+  per source word and block. Needs no table to fit anywhere.
+* ``broadcast``: (sentence, e, f) pairs grouped by sentence, cached sorted; the table goes
+  to every task in every round. Only if a bound on its size fits, else as ``shuffle``.
 
 Both give the same result. No round adds a cell, so one size check decides for
 all rounds.
@@ -15,14 +12,13 @@ all rounds.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.constants import EM_ROUNDS
 from tandem.functions.model import position_prior, ratio
+from tandem.operators import blocks as B
 from tandem.operators.counts import divide_rows, row_sums
 from tandem.operators.pairs import (
     cooccurrence_of_bags,
@@ -34,174 +30,48 @@ from tandem.operators.pairs import (
     with_null_word,
     with_own_key,
 )
-from tandem.session import (
-    BROADCAST_LIMIT_BYTES,
-    cut_lineage,
-    fits_broadcast,
-    session_conf,
-    shuffle_partitions,
-)
+from tandem.session import BROADCAST_LIMIT_BYTES, cut_lineage, fits_broadcast, shuffle_partitions
 
-# Pairs per task of the cached layout: also bounds a task's share of the table.
-PAIRS_PER_TASK = 4_000_000
-# Part of the broadcast limit up to which `auto` broadcasts the table.
-AUTO_SHARE = 8
-# Target words per block: a very long sentence becomes several rows.
+# Target words per block of the broadcast layout: a very long sentence becomes several rows.
 BLOCK_WORDS = 256
+GROUP = ["sid", "blk", "f"]
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Cached pairs with the columns they are grouped by, and how to bring the table."""
-
-    pairs: DataFrame
-    group: list[str]
-    n_tasks: int
-    owner: list[str] | None = None  # shuffle layout: what decides the task of a pair
-    hot: DataFrame | None = None  # shuffle layout: target words cut into several groups
-
-    def bring(self, table: DataFrame) -> DataFrame:
-        """The cells ``e, f, p`` of a table, sent to where their pairs are."""
-        if self.owner is None:
-            return F.broadcast(table)  # size checked by plan_layout
-        if self.hot is not None:
-            table = self._copies(table, "p")
-        return table.repartition(self.n_tasks, *self.owner)
-
-    def _copies(self, table: DataFrame, value: str) -> DataFrame:
-        """Cells of a cut word once per group, all others once."""
-        cuts = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
-        return table.join(F.broadcast(self.hot), "f", "left").select(
-            "e", "f", value, F.explode(cuts).alias("salt"))
-
-    def in_place(self, cells: DataFrame) -> DataFrame:
-        """Cells of :meth:`sum_cells` with whole counts, next to their pairs.
+def table_fits(bags: DataFrame, cell_bytes: int, broadcast_limit: int) -> bool:
+    """Whether the table may be broadcast: by the number of pairs, else by that of its cells."""
+    pairs = bags.agg(F.coalesce(F.sum(F.size("src") * F.size("tgt")), F.lit(0))).first()[0]
+    return fits_broadcast(pairs, cell_bytes, broadcast_limit) or fits_broadcast(
+        cooccurrence_of_bags(bags).count(), cell_bytes, broadcast_limit)
 
-        Only cells of cut words move, to be added up over their groups.
-        """
-        if self.hot is None:
-            return cells
-        cut = cells.join(F.broadcast(self.hot), "f", "left_semi").groupBy("e", "f").agg(
-            F.sum("c").alias("whole"))
-        spread = self._copies(cut, "whole").repartition(self.n_tasks, *self.owner)
-        return cells.join(spread.hint("shuffle_hash"), [*self.owner, "e"], "left").withColumn(
-            "c", F.coalesce("whole", "c")).drop("whole")
 
-    def join_table(self, placed: DataFrame) -> DataFrame:
-        """Pairs with their cells; pairs stay where they are."""
-        if self.owner is None:
-            return self.pairs.join(placed, ["e", "f"])
-        return self.pairs.join(placed.hint("shuffle_hash"), [*self.owner, "e"])
-
-    def sum_cells(self, amounts: DataFrame) -> DataFrame:
-        """``c`` per cell. Grouped by word, tasks own whole groups, so nothing moves yet."""
-        return amounts.groupBy(*(self.owner or ["f"]), "e").agg(F.sum("c").alias("c"))
-
-    def whole_cells(self, sums: DataFrame) -> DataFrame:
-        """``e, f, c`` after adding up the groups of the few words that were cut."""
-        if self.hot is None:
-            return sums.select("e", "f", "c")
-        hot = F.broadcast(self.hot)
-        cut = sums.join(hot, "f", "left_semi").groupBy("e", "f").agg(F.sum("c").alias("c"))
-        return sums.join(hot, "f", "left_anti").select("e", "f", "c").unionByName(cut)
-
-
-def plan_layout(bags: DataFrame, cell_bytes: int, strategy: str = "auto",
-                n_cells: int | None = None, broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                pairs_per_task: int = PAIRS_PER_TASK, positions: bool = True) -> Layout:
-    """Choose where pairs live. ``broadcast`` falls back to ``shuffle`` beyond the limit.
-
-    Without ``n_cells`` the number of pairs bounds the table; only when that bound
-    is too large and a broadcast was asked for are the cells counted. ``auto``
-    broadcasts only a table well below the limit: the driver gathers and ships it
-    anew in every round, while the shuffle layout leaves it in place.
-    """
-    if strategy not in ("auto", "broadcast", "shuffle"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    spark = bags.sparkSession
-    weights = per_target_word(bags).groupBy("f").agg(F.sum(F.size("src")).alias("w"))
-    total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-    # By data size; at least one task per core, unless fewer were asked for.
-    n_tasks = max(min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism),
-                  -(-total // pairs_per_task))
-    limit = broadcast_limit // AUTO_SHARE if strategy == "auto" else broadcast_limit
-    fits = strategy != "shuffle" and fits_broadcast(
-        total if n_cells is None else n_cells, cell_bytes, limit)
-    if not fits and strategy == "broadcast" and n_cells is None:
-        fits = fits_broadcast(cooccurrence_of_bags(bags).count(), cell_bytes, limit)
-    if fits:
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size("tgt") - 1) / BLOCK_WORDS).cast("int")),
-            lambda i: F.slice("tgt", i * BLOCK_WORDS + 1, BLOCK_WORDS))
-        blocks = (
-            bags.filter(F.size("tgt") > 0)
-            .select("sid", "len", "src", F.posexplode(chunks).alias("blk", "tgt"))
-            .repartition(n_tasks, "sid", "blk")
-        )
-        pairs = explode_pairs(per_target_word(blocks, "blk"), "blk")
-        group, owner, hot = ["sid", "blk", "f"], None, None
-    else:
-        # Words above 1/n of all pairs: fewer than n of them, cut into at most 2n groups.
-        hot = cut_lineage(
-            weights.filter(F.col("w") * n_tasks > total)
-            .select("f", F.ceil(F.col("w") * n_tasks / F.lit(max(total, 1))).cast("int").alias("cuts")))
-        rows = per_target_word(bags)
-        if hot.isEmpty():
-            owner, hot = ["f"], None
-            pairs = explode_pairs(rows.repartition(n_tasks, *owner))
-        else:
-            owner = ["f", "salt"]
-            salt = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("cuts")), F.lit(0)).cast("int")
-            salted = rows.join(F.broadcast(hot), "f", "left").withColumn("salt", salt).drop("cuts")
-            pairs = explode_pairs(salted.repartition(n_tasks, *owner), "salt")
-        group = [*owner, "sid"]
-    if not positions:  # only decoding reads them
-        pairs = pairs.drop("e_pos")
-    pairs = pairs.sortWithinPartitions(*group).persist(StorageLevel.MEMORY_AND_DISK)
-    return Layout(pairs, group, n_tasks, owner, hot)
+def sentence_pairs(bags: DataFrame) -> DataFrame:
+    """Pairs of a sentence's block in one task, cached in the order of :data:`GROUP`."""
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("tgt") - 1) / BLOCK_WORDS).cast("int")),
+        lambda i: F.slice("tgt", i * BLOCK_WORDS + 1, BLOCK_WORDS))
+    rows = bags.filter(F.size("tgt") > 0).select(
+        "sid", "len", "src", F.posexplode(chunks).alias("blk", "tgt")).repartition(
+        shuffle_partitions(bags.sparkSession), "sid", "blk")
+    pairs = explode_pairs(per_target_word(rows, "blk"), "blk").drop("e_pos")
+    return pairs.sortWithinPartitions(*GROUP).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def e_step(layout: Layout, placed: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
+def e_step(pairs: DataFrame, table: DataFrame, null: Column, n_null: int = 1) -> DataFrame:
     """Pairs with ``share``: the part of one ``f`` token that goes to the ``e`` tokens."""
     is_null = F.col("e") == null
     prior = position_prior(is_null, F.col("len") + F.lit(n_null))
     copies = F.when(is_null, F.col("ne") * F.lit(n_null)).otherwise(F.col("ne"))
-    weighted = layout.join_table(placed).withColumn("weight", F.col("p") * copies * prior)
-    rivals = Window.partitionBy(*layout.group)
+    weighted = pairs.join(F.broadcast(table), ["e", "f"]).withColumn(  # size checked by table_fits
+        "weight", F.col("p") * copies * prior)
+    rivals = Window.partitionBy(*GROUP)
     return weighted.withColumn("share", ratio(F.col("weight"), F.sum("weight").over(rivals)))
 
 
-def _settle(layout: Layout, amounts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sums of ``c`` per cell, where the pairs are, and per source word.
-
-    Adaptive execution is off for the first job: with it, a checkpoint forgets how
-    its rows are distributed, and the next round would have to move them.
-    """
-    cells = layout.sum_cells(amounts)
-    with session_conf(cells.sparkSession, spark__sql__adaptive__enabled="false",
-                      spark__sql__shuffle__partitions=str(layout.n_tasks)):
-        cells = cut_lineage(cells)
-    return cells, row_sums(cells, "c")  # additive over the groups of cut words
-
-
-def initial_counts(layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """Co-occurrence counts of the pairs."""
-    return _settle(layout, layout.pairs.withColumn("c", (F.col("ne") * F.col("nf")).cast("double")))
-
-
-def m_step(expected: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """Expected counts ``nf * share``, to be normalised per source word."""
-    return _settle(layout, expected.withColumn("c", F.col("nf") * F.col("share")))
-
-
-def place_next(layout: Layout, cells: DataFrame, sums: DataFrame, sum_bytes: int,
-               broadcast_limit: int) -> DataFrame:
-    """The normalised table for the next round, next to the pairs."""
-    if layout.owner is None or not fits_broadcast(sums.count(), sum_bytes, broadcast_limit):
-        return layout.bring(divide_rows(layout.whole_cells(cells), sums, "c",
-                                        row_bytes=sum_bytes, broadcast_limit=broadcast_limit))
-    return layout.in_place(cells).join(F.broadcast(sums), "e").select(
-        *layout.owner, "e", ratio(F.col("c"), F.col("sum")).alias("p"))
+def m_step(amounts: DataFrame, cell_bytes: int, broadcast_limit: int) -> DataFrame:
+    """The table from amounts ``c`` per pair."""
+    cells = cut_lineage(amounts.groupBy("f", "e").agg(F.sum("c").alias("c")))
+    return cut_lineage(divide_rows(cells, row_sums(cells, "c"), "c",
+                                   row_bytes=cell_bytes, broadcast_limit=broadcast_limit))
 
 
 def train(
@@ -210,49 +80,61 @@ def train(
     strategy: str = "auto",
     null_growth: bool = False,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-    pairs_per_task: int = PAIRS_PER_TASK,
+    block_pairs: int = B.BLOCK_PAIRS,
 ) -> DataFrame:
     """Translation table ``e, f, p`` with p summing to 1 per ``e``.
 
     ``bitext`` has ``sid``, ``src`` and ``tgt``; pairs may share a ``sid``. Each
     sentence gets the NULL word once; with ``null_growth`` round k sees it k+1 times.
     """
-    spark = bitext.sparkSession
+    if strategy not in ("auto", "broadcast", "shuffle"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     null, cell_bytes = null_token(bitext), row_bytes(bitext)
-    with session_conf(spark,
-                      spark__sql__requireAllClusterKeysForCoPartition="false"):
-        bags = with_null_word(sentence_bags(with_own_key(bitext)), null).persist(StorageLevel.MEMORY_AND_DISK)
-        layout = plan_layout(bags, cell_bytes, strategy, None, broadcast_limit, pairs_per_task,
-                             positions=False)
-        cells, sums = initial_counts(layout)
+    bags = with_null_word(sentence_bags(with_own_key(bitext)), null).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if strategy != "broadcast" or not table_fits(bags, cell_bytes, broadcast_limit):
+            return B.train_blocks(B.make_blocks(bags, null, block_pairs), rounds, null_growth)
+        pairs = sentence_pairs(bags)
+        table = m_step(pairs.withColumn("c", (F.col("ne") * F.col("nf")).cast("double")), cell_bytes, broadcast_limit)
         for k in range(1, rounds + 1):
-            placed = place_next(layout, cells, sums, cell_bytes, broadcast_limit)
-            expected = e_step(layout, placed, null, k + 1 if null_growth else 1)
-            cells, sums = m_step(expected, layout)
-        table = cut_lineage(divide_rows(layout.whole_cells(cells), sums, "c",
-                                        row_bytes=cell_bytes, broadcast_limit=broadcast_limit))
-        layout.pairs.unpersist()
+            expected = e_step(pairs, table, null, k + 1 if null_growth else 1)
+            table = m_step(expected.withColumn("c", F.col("nf") * F.col("share")), cell_bytes, broadcast_limit)
+        pairs.unpersist()
+        return table.select("e", "f", "p")
+    finally:
         bags.unpersist()
-    return table
 
 
 def posterior(bitext: DataFrame, table: DataFrame, strategy: str = "auto",
               broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Share of every source word in explaining every target word, one E step."""
-    from tandem.operators.decode import needed_cells
-
-    null, cell_bytes = null_token(bitext), row_bytes(bitext)
-    with session_conf(bitext.sparkSession,
-                      spark__sql__requireAllClusterKeysForCoPartition="false"):
-        keyed = with_own_key(bitext)
-        bags = with_null_word(sentence_bags(keyed), null).persist(StorageLevel.MEMORY_AND_DISK)
-        table = needed_cells(table, bags, cell_bytes, broadcast_limit)
-        layout = plan_layout(bags, cell_bytes, strategy, table.count(), broadcast_limit)
-        shares = e_step(layout, layout.bring(table), null).select("sid", "e", "f", "ne", "nf", "share")
-        result = cut_lineage(shares.join(keyed.select("sid", "given_sid"), "sid").select(
-            F.col("given_sid").alias("sid"), "e", "f", "ne", "nf", "share"))
-        layout.pairs.unpersist()
-        bags.unpersist()
+    null = null_token(bitext)
+    keyed = with_own_key(bitext)
+    laid = B.make_blocks(with_null_word(sentence_bags(keyed), null), null)
+
+    def work(block: B.Block, row: dict):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = []
+        p = B.given_values(block, row)
+        known = B.known_cells(block, row)
+        for units, unit, at, cell, sentence, share in block.shares(p, 1):
+            there = known[cell]
+            parts.append(tuple(x[there] for x in (
+                block.sid[sentence][unit], block.src[at], block.tgt[units][unit], block.n_src[at],
+                block.n_tgt[units][unit], share)))
+        sid, e, f, ne, nf, share = map(np.concatenate, zip(*parts))
+        return pa.RecordBatch.from_arrays([
+            pa.array(sid), row["e"].values.take(pa.array(e)), row["f"].values.take(pa.array(f)),
+            pa.array(ne), pa.array(nf), pa.array(share, from_pandas=True)], ["sid", "e", "f", "ne", "nf", "share"])
+
+    routed = B.route_table(laid, table, strategy, row_bytes(bitext), broadcast_limit)
+    shares = B.over_blocks(
+        routed, work, f"sid long, e {laid.e_type}, f {laid.f_type}, ne int, nf int, share double")
+    result = cut_lineage(shares.join(keyed.select("sid", "given_sid"), "sid").select(
+        F.col("given_sid").alias("sid"), "e", "f", "ne", "nf", "share"))
+    laid.tables.drop()
     return result
 
 

@@ -263,9 +263,10 @@ ORACLES: dict[str, str] = {
         count(g.sid) > 0 AS has_gold FROM held h LEFT JOIN gold g ON g.sid = h.sid AND g.sure GROUP BY h.sid""",
     "dictionary_join": f"WITH {TRAIN}, {_vocab('bt')}, {HELD}, {_encode('held', 'vocab', 'enc')} SELECT sid, {_SRC_TGT} FROM enc",
     "position_cells": f"WITH {HELD_GOLD}, {_cells(_REVERSED_SURE)} SELECT sid, f_pos, word, cells FROM grid",
-    "link_membership": f"""WITH {HELD_GOLD} SELECT r.sid, r.e_pos, r.f_pos, coalesce(g.sure, false) AS in_sure,
-        g.sid IS NOT NULL AS in_possible FROM ({_REVERSED}) r
-        LEFT JOIN gold g ON g.sid = r.sid AND g.e_pos = r.e_pos AND g.f_pos = r.f_pos""",
+    "link_membership": f"""WITH {HELD_GOLD} SELECT sid, e_pos, f_pos, bool_or(s) AS in_sure, bool_or(p) AS in_possible
+        FROM (SELECT sid, e_pos, f_pos, false AS s, false AS p, true AS asked FROM ({_REVERSED})
+              UNION ALL SELECT sid, e_pos, f_pos, sure, true, false FROM gold)
+        GROUP BY sid, e_pos, f_pos HAVING bool_or(asked)""",
     "cooccurrences": f"WITH {TRAIN_PAIRS}, {_cooc('pairs', 'c')} SELECT e::INT AS e, f::INT AS f, n FROM c",
     "merged_counts": f"""WITH {_both_counts(NULL_WORD)} SELECT e, f, sum(n)::BIGINT AS n
         FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2) GROUP BY e, f""",
@@ -273,6 +274,17 @@ ORACLES: dict[str, str] = {
         {_CELLS_ROUNDED.format('t')}""",
     "upsert_counts": f"""WITH {_both_counts(NULL_WORD)} SELECT coalesce(k2.e, k1.e) AS e, coalesce(k2.f, k1.f) AS f,
         coalesce(k2.n, k1.n) AS n FROM k1 FULL JOIN k2 ON k1.e = k2.e AND k1.f = k2.f""",
+    "upsert_arrivals": """WITH talk AS (SELECT role AS e, string_split(lower(text), ' ')[1] AS f, conv_id, turn,
+            length(text)::BIGINT AS n FROM conversations),
+        last AS (SELECT e, f, arg_max(n, (turn, conv_id)) AS n FROM talk WHERE n % 3 > 0 GROUP BY e, f)
+        SELECT c.e, c.f, coalesce(l.n, c.n) AS n FROM (SELECT e, f, count(*) AS n FROM talk GROUP BY e, f) c
+        LEFT JOIN last l ON l.e = c.e AND l.f = c.f""",
+    "row_arrays": f"""WITH {TRAIN}, o AS (
+          SELECT sid, string_agg(w, ' ' ORDER BY length(w) DESC, right(w, 1) DESC, w DESC) AS ordered
+          FROM (SELECT DISTINCT sid, unnest(src) AS w FROM bt) GROUP BY sid)
+        SELECT sid, array_to_string(list_sort(list_distinct(list_concat(src, tgt))), ' ') AS both,
+          coalesce(list_sum(list_transform(src, lambda w: length(w))), 0)::BIGINT AS letters,
+          coalesce(ordered, '') AS ordered FROM bt LEFT JOIN o USING (sid)""",
     "sharded": f"WITH {TRAIN} SELECT sid, (sid % 8 + 1)::INT AS shard FROM bt",
     "shard_footprint": f"""WITH {TRAIN} SELECT e, count(*)::INT AS n_shards,
         string_agg(shard::VARCHAR, ' ' ORDER BY shard) AS shards FROM (
@@ -319,6 +331,8 @@ ORACLES: dict[str, str] = {
     "em_3": _em_query(3),
     "em_20": _em_query(20),
     "em_shuffle_3": _em_query(3),
+    "em_20_broadcast": _em_query(20),
+    "em_20_null_growth": _em_query(20, growth=True),
     "em_3_null_growth": _em_query(3, growth=True),
     "best_link": f"WITH {ALIGNED} SELECT sid, e_pos, f_pos, true AS sure FROM links",
     "align_held_out": f"WITH {ALIGNED} SELECT sid, e_pos, f_pos FROM links",

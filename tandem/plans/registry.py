@@ -35,7 +35,7 @@ from tandem.operators.render import position_grid, render_alignment
 from tandem.operators.vocab import bitext_lines, encode_bitext, first_seen_vocab
 from tandem.plans.encode import corpus_growth, corpus_words, encode_corpus
 from tandem.plans.job import align_and_score
-from tandem.session import scratch_path
+from tandem.session import cut_lineage, scratch_path
 from tandem.sinks import text as K
 from tandem.sources import bitext as B
 from tandem.sources import lines as N
@@ -362,7 +362,7 @@ def position_cells(spark, sf_dir):
 
 @query
 def link_membership(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
+    gold = cut_lineage(_gold(spark, sf_dir))
     return L.link_membership(L.reverse_links(gold), gold)
 
 
@@ -388,6 +388,29 @@ def upsert_counts(spark, sf_dir):
     return C.upsert_counts(cooccurrence(training_bitext(spark, sf_dir)), cooccurrence(held_out_bitext(spark, sf_dir)))
 
 
+@query
+def upsert_arrivals(spark, sf_dir):
+    """Turns per role and first word, overwritten by the length of the last turn that has them.
+
+    Turns of one number are one version; in it the conversations arrive by their number.
+    """
+    talk = table(spark, sf_dir, "conversations").select(
+        F.col("role").alias("e"), F.get(F.split(F.lower("text"), " "), 0).alias("f"), "conv_id", "turn",
+        F.length("text").cast("long").alias("n"))
+    counts = talk.groupBy("e", "f").agg(F.count(F.lit(1)).alias("n"))
+    return C.upsert_counts(counts, talk.filter("n % 3 > 0"), version="turn", arrival="conv_id")
+
+
+@query
+def row_arrays(spark, sf_dir):
+    """Union, sum and order by a comparison inside the rows of the training pairs."""
+    ordered = S.sorted_in_row(F.array_distinct("src"), F.length, lambda w: F.substring(w, -1, 1), lambda w: w, reverse=True)
+    return training_bitext(spark, sf_dir).select(
+        "sid", F.array_join(F.array_sort(S.union_in_row("src", "tgt")), " ").alias("both"),
+        S.total_in_row(F.transform("src", lambda w: F.length(w).cast("long"))).alias("letters"),
+        F.array_join(ordered, " ").alias("ordered"))
+
+
 @query
 def sharded(spark, sf_dir):
     return C.with_shard(training_bitext(spark, sf_dir).select("sid"), SHARDS)
@@ -568,6 +591,16 @@ def em_shuffle_3(spark, sf_dir):
     return _em(spark, sf_dir, 3, strategy="shuffle")
 
 
+@query
+def em_20_broadcast(spark, sf_dir):
+    return _em(spark, sf_dir, 20, strategy="broadcast")
+
+
+@query
+def em_20_null_growth(spark, sf_dir):
+    return _em(spark, sf_dir, 20, null_growth=True)
+
+
 @query
 def em_3_null_growth(spark, sf_dir):
     return _em(spark, sf_dir, 3, null_growth=True)

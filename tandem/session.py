@@ -60,6 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tandem-{uuid.uuid4().hex}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete intermediate files that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     checkpoint_dir(df.sparkSession)

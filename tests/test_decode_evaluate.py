@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators.decode import align, needed_cells
+from tandem.operators import blocks
+from tandem.operators.decode import align
 from tandem.operators.em import posterior, top_translations
 from tandem.operators.evaluate import (
     compare_links, confusion, evaluate, gold_of_sentences, missing_gold)
@@ -121,9 +122,25 @@ def test_a_large_table_is_cut_to_the_test_set(spark):
     bitext = spark.createDataFrame([(1, ["1"], ["2"])], "sid long, src array<string>, tgt array<string>")
     table = spark.range(200_000).selectExpr("cast(id % 700 AS string) AS e", "cast(id AS string) AS f", "0.1D AS p")
     bags = with_null_word(sentence_bags(bitext), null_token(bitext))
-    cells = needed_cells(table, bags, 64)
-    assert cells.count() == table.filter("e = '1' and f = '2'").count()
-    assert align(bitext, table).count() == cells.count()
+    laid = blocks.make_blocks(bags, null_token(bitext))
+    routed = [r.given for r in blocks.route_table(laid, table, "auto", 64).collect() if r.given]
+    wanted = table.filter("e = '1' and f = '2'").count()
+    assert sum(map(len, routed)) == wanted and align(bitext, table).count() == wanted
+    laid.tables.drop()
+
+
+def test_links_without_rounding_choose_the_most_likely(spark):
+    rng = random.Random(12)
+    rows = [(i, [rng.randint(1, 6) for _ in range(rng.randint(0, 6))], [rng.randint(1, 6) for _ in range(rng.randint(0, 6))])
+            for i in range(80)]
+    cells = [(e, f, rng.random()) for e in range(0, 7) for f in range(1, 7) if rng.random() < 0.8]
+    bitext, p = spark.createDataFrame(rows, BITEXT), {(e, f): x for e, f, x in cells}
+    found = links_of(align(bitext, spark.createDataFrame(cells, TABLE)))
+    chosen = {(sid, f_pos): e_pos for sid, e_pos, f_pos in found}
+    for sid, src, tgt in rows:
+        for j, f in enumerate(tgt):
+            weights = {-1: 0.2 * p.get((0, f), 0), **{i: 0.8 / (len(src) + 1) * p.get((e, f), 0) for i, e in enumerate(src)}}
+            assert weights[chosen.get((sid, j), -1)] == max(weights.values())
 
 
 def test_every_sentence_has_a_score_row(spark):

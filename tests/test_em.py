@@ -1,9 +1,11 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators.em import e_step, initial_counts, m_step, place_next, plan_layout, train
+from tandem.operators import blocks
+from tandem.operators.em import e_step, m_step, sentence_pairs, train
 from tandem.operators.pairs import (
     cooccurrence, null_token, sentence_bags, with_null_word)
 from tandem.session import session_conf
@@ -35,9 +37,9 @@ def assert_close(got, want):
 @pytest.mark.parametrize("options", [
     {"strategy": "broadcast"},
     {"strategy": "shuffle"},
-    {"strategy": "shuffle", "pairs_per_task": 60},   # hot words are cut into groups
+    {"strategy": "shuffle", "block_pairs": 60},   # hot words are cut into groups
     {"strategy": "broadcast", "broadcast_limit": 1},  # nothing may be broadcast
-    {"strategy": "shuffle", "pairs_per_task": 60, "null_growth": True},
+    {"strategy": "shuffle", "block_pairs": 60, "null_growth": True},
 ])
 def test_train_matches_token_loop(spark, options):
     bitext = random_bitext(7)
@@ -83,59 +85,84 @@ def test_cooccurrence_counts_tokens(spark):
     assert got == {(1, 7): 4, (2, 7): 2, (0, 7): 2}
 
 
-def without_cached(plan):
-    """Plan lines outside the cached pairs."""
-    kept, skip = [], None
-    for line in plan.splitlines():
-        depth = len(line) - len(line.lstrip(" :+-"))
-        if skip is not None and depth > skip:
-            continue
-        skip = depth if "InMemoryRelation" in line else None
-        kept.append(line)
-    return "\n".join(kept)
-
-
-def round_plans(spark, **options):
-    """Executed plans of the first two rounds, without what made the cached pairs."""
-    bitext = frame(spark, random_bitext(5, n=200))
-    with session_conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false",
-                      spark__sql__adaptive__enabled="false"):
-        null = null_token(bitext)
-        bags = with_null_word(sentence_bags(bitext), null).persist()
-        layout = plan_layout(bags, 64, **options)
-        cells, sums = initial_counts(layout)
-        plans = []
-        for _ in range(2):
-            expected = e_step(layout, place_next(layout, cells, sums, 64, 1 << 20), null)
-            plans.append(expected.groupBy(*(layout.owner or ["f"]), "e").agg(F.sum("share"))
-                         ._jdf.queryExecution().executedPlan().toString())
-            cells, sums = m_step(expected, layout)
-        layout.pairs.unpersist()
-        bags.unpersist()
-    return layout, [without_cached(p) for p in plans]
-
-
-def test_shuffle_rounds_move_nothing_but_small_sums(spark):
-    layout, (first, second) = round_plans(spark, strategy="shuffle")
-    assert layout.hot is None
-    assert "Exchange hashpartitioning" not in first + second
-    assert "Sort " not in first + second
-    assert "ShuffledHashJoin" in second
-
-
-def test_shuffle_rounds_move_only_cells_of_cut_words(spark):
-    layout, (_, second) = round_plans(spark, strategy="shuffle", pairs_per_task=500)
-    assert layout.hot is not None and layout.owner == ["f", "salt"]
-    # Adding up the groups of cut words, and sending the totals back.
-    assert second.count("Exchange hashpartitioning") == 2
-    assert "Sort " not in second
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_move_no_pairs_and_cache_none(spark, monkeypatch):
+    """A round reads two bucketed tables in place; only need lists are exchanged."""
+    plans, real = [], blocks.Tables.write
+    monkeypatch.setattr(blocks.Tables, "write", lambda self, df, name: plans.append((name, plan_of(df))) or real(self, df, name))
+    for pairs in (10 ** 6, 60):  # the second cuts words into several blocks
+        plans.clear()
+        train(frame(spark, random_bitext(7)), 2, block_pairs=pairs)
+        for name, plan in plans[2:]:
+            assert name.startswith("round") and "InMemoryRelation" not in plan and "Bucketed: true" in plan
+            moved = set(re.findall(r"Exchange hashpartitioning\(([^#]*)#", plan))
+            # need lists by source word, cells of cut words (_w…), and both back to their blocks
+            assert {"block", "e"} <= moved and all(m in ("block", "e") or pairs == 60 and m.startswith("_w") for m in moved)
+            exchanges = plan.split("Exchange ")[1:]
+            assert not any("payload" in part.split("FileScan")[0] for part in exchanges)
+
+
+def test_blocks_hold_lists_and_need_lists(spark):
+    bitext = frame(spark, random_bitext(7))
+    null = null_token(bitext)
+    bags = with_null_word(sentence_bags(bitext), null)
+    laid = blocks.make_blocks(bags, null, 60)
+    rows = laid.rows.collect()
+    cells = set()
+    for r in rows:
+        block = blocks.Block(r.payload)
+        assert r.n_cells == len(block.cells) and len(set(r.e)) == len(r.e) == block.n_e
+        mine = {(r.e[c % block.n_e], r.f[c // block.n_e]) for c in block.cells}
+        whole = {(r.e[c % block.n_e], r.f[c // block.n_e]) for i, c in enumerate(block.cells) if i not in r.cut}
+        assert not whole & cells  # the cells of words that are not cut are in one block
+        cells |= mine
+    assert cells == {(r.e, r.f) for r in cooccurrence(bitext).collect()}
+    assert laid.cut and len(rows) > 4
+    laid.tables.drop()
+
+
+def test_steps_give_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "STEP_PAIRS", 7)
+    bitext = frame(spark, random_bitext(2, n=12))
+    null = null_token(bitext)
+    laid = blocks.make_blocks(with_null_word(sentence_bags(bitext), null), null)
+    found = {}
+    for r in laid.rows.collect():
+        block = blocks.Block(r.payload)
+        for cell, n in enumerate(block.first_counts()):
+            found[r.e[block.cells[cell] % block.n_e], r.f[block.cells[cell] // block.n_e]] = n
+    assert found == {(r.e, r.f): r.n for r in cooccurrence(bitext).collect()}
+    laid.tables.drop()
+
+
+def test_two_trainings_at_once_and_any_settings(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    bitexts = [random_bitext(seed) for seed in (7, 8)]
+    before = {t.name for t in spark.catalog.listTables()}
+    with ThreadPoolExecutor(2) as pool:
+        tables = list(pool.map(lambda b: as_dict(train(frame(spark, b), 3, block_pairs=60)), bitexts))
+    for table, bitext in zip(tables, bitexts):
+        assert_close(table, em(bitext, 3))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    with session_conf(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="3"):
+        assert_close(as_dict(train(frame(spark, bitexts[0]), 3)), em(bitexts[0], 3))
 
 
 def test_broadcast_rounds_shuffle_only_counts(spark):
-    _, (_, second) = round_plans(spark, strategy="broadcast")
-    assert second.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
-    assert "Sort " not in second
-    assert "BroadcastHashJoin" in second
+    bitext = frame(spark, random_bitext(5, n=200))
+    null = null_token(bitext)
+    bags = with_null_word(sentence_bags(bitext), null)
+    pairs = sentence_pairs(bags)
+    table = m_step(pairs.withColumn("c", F.lit(1.0)), 64, 1 << 20)
+    plan = plan_of(e_step(pairs, table, null).groupBy("f", "e").agg(F.sum("share")))
+    outside = plan.split("InMemoryRelation")[0]
+    assert "BroadcastHashJoin" in outside and outside.count("Exchange hashpartitioning") == 1
+    assert "Sort " not in outside
+    pairs.unpersist()
 
 
 def test_pairs_of_one_id_are_kept_apart(spark):

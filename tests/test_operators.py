@@ -109,10 +109,21 @@ def test_counts(spark):
     assert over == {(1, 1): 1.0, (1, 2): 6.0, (2, 1): 0.0}
     versions = b.withColumn("v", F.lit(1)).unionByName(cells(spark, (1, 1, 9.0)).withColumn("v", F.lit(2)))
     assert C.upsert_counts(a, versions, version="v").filter("e = 1 and f = 1").first().n == 9.0
+    both = cells(spark, (1, 1, 3.0), (1, 1, 8.0), (1, 1, 5.0)).select("e", "f", "n", F.lit(1).alias("v"), (-F.col("n") % 4).alias("at"))
+    for parts in (1, 3):  # arrivals -3, 0 and -1
+        assert C.upsert_counts(a, both.repartition(parts), version="v", arrival="at").filter("e = 1 and f = 1").first().n == 8.0
     looked = C.lookup_cells(b.select("e", "f"), a.withColumnRenamed("n", "p"))
     assert {(r.e, r.p) for r in looked.collect()} == {(1, 2.0), (2, 0.0)}
 
 
+def test_arrays_of_a_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "ccc"], ["a", "dd"], [1, 2]), ([], ["x"], None)],
+                                 "x array<string>, y array<string>, n array<long>")
+    found = rows.select(S.union_in_row("x", "y").alias("u"), S.total_in_row("n").alias("t"), S.sorted_in_row(
+        "x", F.length, lambda w: w, reverse=True).alias("s")).collect()
+    assert [(r.u, r.t, r.s) for r in found] == [(["b", "a", "ccc", "dd"], 3, ["ccc", "b", "a"]), (["x"], 0, [])]
+
+
 def test_shards_lists_totals(spark):
     bitext = spark.createDataFrame([(0, ["a"]), (1, ["a", "b"]), (2, ["a"])], "sid long, src array<string>")
     foot = {r.e: r.shards for r in C.shard_footprint(C.with_shard(bitext, 2)).collect()}
