@@ -16,7 +16,8 @@
    place or one beside.
 5. *Lists.* So a word is listed under its rarest grams only, one more than its bound,
    with their place and its length. Lists are joined where gram, place and length agree
-   up to the shift of one insertion, and what meets is verified by edit distance.
+   up to the shift of one insertion; of what meets, pairs without an equal half go, and
+   the others are verified by edit distance.
 6. Words whose bound leaves nothing to share are listed under all their grams, and
    once more, among themselves, by fixed grams of ``SHORT`` characters, of which one
    edit cannot change all. No pair is lost.
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import ID, TEXT, id_and_text, stored
@@ -141,10 +142,13 @@ def gram_counts(words: DataFrame, most: int = MOST_GRAMS) -> dict[str, int]:
     marked = words.select(F.concat(F.lit(START), "word", F.lit(END)).alias("m"))
     places = marked.agg(F.coalesce(F.sum(F.length("m")), F.lit(0)).alias("n")).first()["n"]
     least = max(LEAST_FREQUENT, places // most)
-    grams = F.flatten(F.array(*[
-        F.when(F.length("m") >= size, F.transform(
-            F.sequence(F.lit(1), F.length("m") - F.lit(size - 1)), lambda i, size=size: F.substring("m", i, size)))
-        .otherwise(F.array().cast("array<string>")) for size in range(SHORT, LONG + 1)]))
+
+    def of_size(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("m") - F.lit(size - 1))
+        return F.when(F.length("m") >= size, F.transform(starts, lambda i: F.substring("m", i, size))).otherwise(
+            F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[of_size(size) for size in range(SHORT, LONG + 1)]))
     found = marked.select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") > least)
     return {r["g"]: r["n"] for r in found.collect()}
@@ -176,18 +180,32 @@ def list_words(words: DataFrame, key: str, counts: Broadcast, longest: int) -> D
         run, "gram string, place int, length int, word string, n long, shared int")
 
 
+def halves(less: int) -> list[Column]:
+    """Hashes of the first and the second half of a word, by half the length minus ``less``."""
+    cut = f"cast((length - {less}) div 2 as int)"
+    return [F.expr(f"xxhash64(left(word, {cut}))").alias(f"first{less}"),
+            F.expr(f"xxhash64(right(word, length - {less} - {cut}))").alias(f"second{less}")]
+
+
 def meet(lists: DataFrame) -> DataFrame:
-    """Pairs (a, na, b, nb) of words one edit apart that some list brings together."""
+    """Pairs (a, na, b, nb) of words one edit apart that some list brings together.
+
+    An edit leaves one half of the shorter word as it is, which is compared before
+    the distance is worked out.
+    """
     here = lists.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("length").alias("own"), "gram",
-                        F.explode(F.array(F.struct("place", "length"),
-                                          F.struct("place", (F.col("length") + 1).alias("length")),
-                                          F.struct((F.col("place") + 1).alias("place"),
-                                                   (F.col("length") + 1).alias("length")))).alias("x"))
-    here = here.select("a", "na", "own", "gram", "x.place", "x.length")
-    there = lists.select(F.col("word").alias("b"), F.col("n").alias("nb"), "gram", "place", "length")
+                        *halves(0), F.explode(F.array(
+                            F.struct("place", "length"), F.struct("place", (F.col("length") + 1).alias("length")),
+                            F.struct((F.col("place") + 1).alias("place"), (F.col("length") + 1).alias("length"))))
+                        .alias("x"))
+    here = here.select("a", "na", "own", "gram", "x.place", "x.length",
+                       F.col("first0").alias("first"), F.col("second0").alias("second"))
+    there = lists.select(F.col("word").alias("b"), F.col("n").alias("nb"), "gram", "place", "length",
+                         *halves(0), *halves(1))
+    half = [(F.col("first") == F.col(f"first{less}")) | (F.col("second") == F.col(f"second{less}")) for less in (0, 1)]
     return here.join(there, ["gram", "place", "length"]).filter(
-        ((F.col("own") < F.col("length")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)).select(
-        "a", "na", "b", "nb").distinct()
+        F.when(F.col("own") < F.col("length"), half[1]).otherwise((F.col("a") < F.col("b")) & half[0])).filter(
+        F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
 
 
 def near_words(words: DataFrame, most: int = MOST_GRAMS) -> DataFrame:

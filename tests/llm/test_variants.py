@@ -136,6 +136,9 @@ def test_frequent_grams_are_closed_under_prefixes_and_bounded(spark):
     made = {"".join(rng.choice("abcd") for _ in range(7)) for _ in range(900)}
     words = spark.createDataFrame([(w,) for w in made], "word string")
     counts = variants.gram_counts(words, 40)
+    every = Counter(f"^{w}$"[i:i + size] for w in made for size in (2, 3, 4) for i in range(len(w) + 3 - size))
+    least = max(variants.LEAST_FREQUENT, sum(len(w) + 2 for w in made) // 40)
+    assert counts == {g: n for g, n in every.items() if n > least}
     assert counts and all(len(g) == 2 or g[:-1] in counts for g in counts)
     assert all(sum(len(g) == size for g in counts) <= 40 for size in (2, 3, 4))
 
