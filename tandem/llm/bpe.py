@@ -4,9 +4,10 @@ For each prefix of a piece of text there is one token that its encoding ends
 with. A token may follow another if merging the bytes of the two by rank leaves
 just these two; a sequence is an encoding exactly if all its neighbours may
 follow each other. So the last token of a prefix is the one token that ends there
-and may follow the last token of the prefix before it. Storing these last tokens
-makes an append exact (the table only grows) and an edit cheap (the table is kept
-up to the edit).
+and may follow the last token of the prefix before it. An automaton of all tokens names
+the ones that end at a byte, longest first. Storing the last tokens makes an append
+exact (the table only grows) and an edit cheap: the table is kept up to the edit, and
+behind it as soon as as many last tokens as the longest token has bytes are the old ones.
 
 Defined cases: null is the empty text, with no ids; texts are encoded whole, any
 length; special tokens' strings are ordinary text; characters without UTF-8 form
@@ -19,13 +20,17 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from tandem.llm.common import ID, TEXT, id_and_text
-from tandem.llm.tokens import LONGEST_CACHED, MOST_CACHED, cut_spaced
+from tandem.llm.tokens import LONGEST_CACHED, cut_spaced
+
+#: Words of which a worker keeps the ids, in two generations, and pairs of tokens.
+MOST_CACHED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +48,11 @@ class Vocabulary:
         self.follows: dict[int, bool] = {}
         self.spines: dict[int, list[int]] = {}
         self.alone: dict[int, bool] = {}
+        # a byte is the character of its number
+        self.automaton = ahocorasick.Automaton()
+        for word, rank in ranks.items():
+            self.automaton.add_word(word.decode("latin-1"), rank)
+        self.automaton.make_automaton()
 
     def merge(self, text: bytes) -> list[int]:
         """Encoding by definition: join the pair of lowest rank, leftmost first."""
@@ -126,31 +136,44 @@ class PrefixTable:
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        v, last = self.vocabulary, self.last
+        v, last, words = self.vocabulary, self.last, self.vocabulary.words
         self.text += more
-        text, find, known = self.text, v.ranks.get, v.follows.get
-        for end in range(len(last) + 1, len(text) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = find(text[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    fits = v.stands(token)
-                else:
-                    fits = known(last[start - 1] << 20 | token)
-                    if fits is None:
-                        fits = v.may_follow(last[start - 1], token)
-                if fits:
-                    last.append(token)
-                    break
+        known, done = v.follows.get, len(last)
+        begin = max(0, done - v.longest + 1)  # where a token that ends behind ``done`` may start
+        for end, token in v.automaton.iter(self.text[begin:].decode("latin-1")):
+            end += begin + 1
+            if end <= done:
+                continue  # a longer one was the last token
+            if end > done + 1:
+                break
+            start = end - len(words[token])
+            if start == 0:
+                fits = v.stands(token)
             else:
-                raise ValueError("the vocabulary lacks a byte of the text")
+                fits = known(last[start - 1] << 20 | token)
+                if fits is None:
+                    fits = v.may_follow(last[start - 1], token)
+            if fits:
+                last.append(token)
+                done = end
+        if done < len(self.text):
+            raise ValueError("the vocabulary lacks a byte of the text")
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replace bytes start..end; last tokens up to ``start`` stay as they are."""
-        tail = self.text[end:]
+        """Replace bytes start..end; only last tokens near the edit are worked out anew.
+
+        A last token depends on the bytes and last tokens within the longest token's
+        length before it, so once that many are the old ones, so are all that follow.
+        """
+        tail, old, near = self.text[end:], self.last[end:], self.vocabulary.longest
         self.text, self.last = self.text[:start], self.last[:start]
-        self.append(new + tail)
+        self.append(new)
+        for a in range(0, len(tail), near):
+            self.append(tail[a:a + near])
+            if a + near < len(tail) and min(start, end) + a > near and self.last[-near:] == old[a:a + near]:
+                self.text += tail[a + near:]
+                self.last += old[a + near:]
+                return
 
     def ids(self) -> list[int]:
         ids, end = [], len(self.last)
@@ -166,6 +189,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the words of the last full cache, dropped when the next one is full
 
     def part(self, text: str) -> bytes:
         ids: list[int] = []
@@ -184,10 +208,12 @@ class Encoder:
         for part in cut_spaced(text):
             ids = self.known.get(part)
             if ids is None:
-                ids = self.part(part)
+                ids = self.older.get(part)
+                if ids is None:
+                    ids = self.part(part)
                 if len(part) <= LONGEST_CACHED:
-                    if len(self.known) > MOST_CACHED:
-                        self.known.clear()
+                    if len(self.known) > MOST_CACHED // 2:
+                        self.known, self.older = {}, self.known
                     self.known[part] = ids
             found.append(ids)
         return b"".join(found)

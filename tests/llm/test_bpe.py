@@ -39,6 +39,26 @@ def test_appends_and_edits_equal_encoding_anew(parts, a, b, new):
     assert table.text == text and table.ids() == (VOCABULARY.merge(text) if text else [])
 
 
+def test_an_edit_reuses_what_is_far_from_it(monkeypatch):
+    text = b"".join([b"thequickbrownfox", b"jumpsoverthelazydog"][i % 2] for i in range(400))
+    table, worked = PrefixTable(VOCABULARY, text), []
+    real = PrefixTable.append
+    monkeypatch.setattr(PrefixTable, "append", lambda self, more: worked.append(len(more)) or real(self, more))
+    table.edit(3000, 3004, b"XYZ")
+    assert table.ids() == VOCABULARY.merge(text[:3000] + b"XYZ" + text[3004:])
+    assert table.text == text[:3000] + b"XYZ" + text[3004:] and len(table.last) == len(table.text)
+    assert sum(worked) < 600
+
+
+def test_full_caches_give_the_same_ids(monkeypatch):
+    from tandem.llm import bpe
+
+    monkeypatch.setattr(bpe, "MOST_CACHED", 6)
+    encoder = Encoder(VOCABULARY, public_tokenizers.PATTERN)
+    text = " ".join(f"word{i % 17} thing{i % 5}" for i in range(200))
+    assert np.frombuffer(encoder.encode(text), "<i4").tolist() == LIBRARY.encode_ordinary(text)
+
+
 def test_a_pair_may_stand_if_merging_leaves_it():
     made = np.random.default_rng(5).integers(0, 50_000, (3000, 2)).tolist()
     for a, b in made:
