@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from tandem.functions.text import envelope_body, split_spaces
 from tandem.operators.joins import lookup_join
 from tandem.operators.order import with_global_index
 from tandem.operators.vocab import first_seen_vocab, vocab_growth
-from tandem.session import cut_lineage
-from tandem.sinks.text import encoded_lines, write_encoded, write_vocab
-from tandem.sources.lines import number_lines, read_lines
+from tandem.session import TEXT_ROW_BYTES, cut_lineage, fits_broadcast, move_folder, remove_path
+from tandem.sinks.text import encoded_lines, write_encoded_by_file, write_vocab
+from tandem.sources.folders import file_names, resolved
+from tandem.sources.lines import dataset_of, number_lines, read_lines
+
+# Lines of one file that a line number has room for: 2^41; files: 2^21.
+LINE_BITS = 41
 
 
 def corpus_words(value: str = "value"):
@@ -36,33 +42,59 @@ def corpus_growth(lines: DataFrame, file: str = "file") -> DataFrame:
     return ranks.join(growth, "_rank").select("file", "n_new", "n_words")
 
 
-def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``line, file, value`` of files read one after the other in the given order."""
-    read = None
-    for idx, path in enumerate(paths):
-        part = number_lines(read_lines(spark, path)).select(
-            F.lit(idx).alias("file"), F.col("ordinal"), "value")
-        read = part if read is None else read.unionByName(part)
-    counts = read.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    starts, start = {}, 0
-    for row in counts.orderBy("file").collect():  # one row per path given by the caller
-        starts[row["file"]] = start
-        start += row["n"]
-    if not starts:
-        return read.select(F.col("ordinal").alias("line"), "file", "value")
-    base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])
-    return read.select((base[F.col("file")] + F.col("ordinal")).alias("line"), "file", "value")
+def _places(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """What to scan, and (dataset, place in reading order, number of its path) for each dataset.
+
+    Works on file names alone. A file below two of the paths is read once and has two places.
+    """
+    numbers: dict[str, list[int]] = {}
+    for number, path in enumerate(paths):
+        for root in resolved(spark, path):
+            numbers.setdefault(root, []).append(number)
+    found = []
+    for dataset in sorted({dataset_of(name) for name in file_names(spark, paths)}) if paths else []:
+        above = dataset
+        while above:
+            found += [(number, dataset) for number in numbers.get(above, [])]
+            above = above.rpartition("/")[0]
+    places = [(dataset, place, number) for place, (number, dataset) in enumerate(sorted(found))]
+    scans = [path for path in dict.fromkeys(paths)
+             if not all(any(root.startswith(f"{other}/") for other in numbers) for root in resolved(spark, path))]
+    return scans, places
+
+
+def read_corpus(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``line, value`` of files read one after the other in the given order, and ``place, file``.
+
+    One scan whatever the number of files: a line's number is its file's place in
+    reading order, in the high bits, and its own number in that file.
+    """
+    scans, places = _places(spark, paths)
+    table = spark.createDataFrame(places, "dataset string, place long, file int")
+    if fits_broadcast(len(places), TEXT_ROW_BYTES):
+        table = F.broadcast(table)
+    lines = number_lines(read_lines(spark, scans)).join(table.select("dataset", "place"), "dataset")
+    return lines.select((F.shiftleft("place", LINE_BITS) + F.col("line_no")).alias("line"), "value"), table
 
 
 def encode_files(spark: SparkSession, dictionary: str, paths: list[str]) -> DataFrame:
     """Encode files with one shared vocabulary; writes ``path.out`` and the dictionary.
 
-    Returns the vocabulary size after each file.
+    All files are read by one scan and written by one job, by file; the folders then
+    get their names. Returns the vocabulary size after each file.
     """
-    lines = cut_lineage(read_corpus(spark, paths))
+    lines, places = read_corpus(spark, paths)
+    lines = cut_lineage(lines)
     vocab, encoded = encode_corpus(lines)
-    by_file = cut_lineage(encoded.join(lines.select("line", "file"), "line"))
-    for idx, path in enumerate(paths):
-        write_encoded(by_file.filter(F.col("file") == idx), f"{path}.out")
+
+    def with_file(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place", F.shiftright("line", LINE_BITS)).join(
+            places.select("place", "file"), "place").drop("place")
+
+    staged = f"{dictionary}.files-{uuid.uuid4().hex}"
+    write_encoded_by_file(with_file(encoded), staged)
+    for number, path in enumerate(paths):
+        move_folder(spark, f"{staged}/file={number}", f"{path}.out")
+    remove_path(spark, staged)
     write_vocab(vocab, dictionary)
-    return corpus_growth(lines)
+    return corpus_growth(with_file(lines))

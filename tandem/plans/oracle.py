@@ -200,6 +200,12 @@ ORACLES: dict[str, str] = {
                row_number() OVER (PARTITION BY source_idx ORDER BY sid) AS line_no,
                len(src)::INT AS n_src, len(tgt)::INT AS n_tgt FROM both_)
         SELECT -rn AS sid, source_idx, line_no, n_src, n_tgt FROM numbered WHERE rn > 40""",
+    "one_source_of_three": f"""WITH {HELD} SELECT sid, row_number() OVER (ORDER BY sid) AS line_no, {_SRC_TGT}
+        FROM held""",
+    "source_states": f"""WITH {HELD} SELECT 0 AS source_idx, 'full' AS base, count(*) AS n_pairs,
+        CASE WHEN count(*) > 0 THEN 'ok' ELSE 'no pairs' END AS state FROM held
+        UNION ALL SELECT 0, 'lone', 0, 'no partner' UNION ALL SELECT 1, 'hollow', 0, 'no pairs'
+        UNION ALL SELECT 2, '', 0, 'missing'""",
     "gold_links": f"WITH {HELD_GOLD} SELECT sid, e_pos, f_pos, sure FROM gold",
     "vocab_roundtrip": f"WITH {DOC_VOCAB} SELECT word, id FROM vocab",
     "encoded_roundtrip": f"""WITH {DOC_ENCODED} SELECT row_number() OVER (ORDER BY line) AS line_no,
@@ -307,6 +313,12 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'two', src, row_number() OVER (ORDER BY sid) FROM held) WHERE line_no <= 3""",
     "take_first": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 60",
     "skip_then_take": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 60 OFFSET 40",
+    "sorted_words": f"""WITH {TRAIN} SELECT row_number() OVER (ORDER BY n DESC, token) AS line_no,
+        token || ' ' || n AS value FROM (
+        SELECT token, count(*) AS n FROM (SELECT unnest(tgt) AS token FROM bt) GROUP BY token)""",
+    "reading_order": f"""WITH {TRAIN}, {HELD} SELECT row_number() OVER (ORDER BY base, sid) AS line_no,
+        array_to_string(src, ' ') AS value FROM (
+        SELECT 'one' AS base, * FROM bt UNION ALL SELECT 'two', * FROM held)""",
     "skip_rest": "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 40",
     "short_input": """SELECT count(*) AS available, 10000::BIGINT AS "offset", count(*) < 10000 AS too_short FROM customer""",
     "ordered_files": """SELECT role AS base, conv_id, turn, row_number() OVER (ORDER BY role, conv_id, turn) AS idx
@@ -324,6 +336,9 @@ ORACLES: dict[str, str] = {
     "link_intersection": f"""WITH {HELD_GOLD} SELECT sid, f_pos AS e_pos, e_pos AS f_pos FROM gold
         INTERSECT SELECT sid, e_pos, f_pos FROM gold WHERE sure""",
     "encoded_corpus": f"WITH {DOC_ENCODED} SELECT line, encoded FROM encoded",
+    "encoded_files": f"""WITH {DOC_ENCODED.replace("SELECT doc_id AS line", "SELECT doc_id % 3 * 1099511627776 + doc_id AS line")}
+        SELECT 'text' || (line // 1099511627776) || '.out' AS file,
+               row_number() OVER (PARTITION BY line // 1099511627776 ORDER BY line) AS line_no, encoded AS value FROM encoded""",
     "posterior_one_round": f"""WITH {HELD}, {_vocab('held')}, {_encode('held', 'vocab', 'enc')},
         {_pairs('enc', 'pairs', '0')}, {_em('pairs', 0, '0')}
         SELECT sid, e::INT AS e, f::INT AS f, round(share, 6) AS share FROM ({_shares('pairs', 't0', '0')})""",
@@ -349,6 +364,7 @@ ORACLES: dict[str, str] = {
           FROM (SELECT sid, src, unnest(range(list_max(list_transform(src, lambda w: length(w))))) AS i FROM held) d
           JOIN ({_positions('held', 'src', 'e_pos', 'e')}) w USING (sid) GROUP BY sid, i""",
     "whole_job": f"WITH {COMPARED} SELECT {_METRICS} FROM (SELECT {_COUNTS} FROM cmp)",
+    "job_on_files": f"WITH {COMPARED} SELECT {_METRICS} FROM (SELECT {_COUNTS} FROM cmp)",
     "top_translations": f"""WITH {MODEL} SELECT e, f, log_p, rank FROM (
         SELECT e, f, log_p, row_number() OVER (PARTITION BY e ORDER BY log_p DESC, f)::INT AS rank
         FROM (SELECT e, f, {_LOG_P} AS log_p FROM t{EM_ROUNDS} WHERE p > 0)) WHERE rank <= 3""",

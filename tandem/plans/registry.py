@@ -33,12 +33,13 @@ from tandem.operators.em import top_translations as most_likely
 from tandem.operators.pairs import append_null, cooccurrence
 from tandem.operators.render import position_grid, render_alignment
 from tandem.operators.vocab import bitext_lines, encode_bitext, first_seen_vocab
-from tandem.plans.encode import corpus_growth, corpus_words, encode_corpus
-from tandem.plans.job import align_and_score
+from tandem.plans.encode import corpus_growth, corpus_words, encode_corpus, encode_files
+from tandem.plans.job import align_and_score, run
 from tandem.session import cut_lineage, scratch_path
 from tandem.sinks import text as K
 from tandem.sources import bitext as B
 from tandem.sources import lines as N
+from tandem.sources.folders import SourceFrames, source_health
 from tandem.sources.gold import read_gold_links
 from tandem.sources.tables import (
     document_lines,
@@ -142,6 +143,26 @@ def multi_source(spark, sf_dir):
         "sid", "source_idx", "line_no", F.size("src").alias("n_src"), F.size("tgt").alias("n_tgt"))
 
 
+@query
+def one_source_of_three(spark, sf_dir):
+    """The second source's only base; the files of the others are not opened."""
+    roots = [scratch_path(spark, f"source{n}") for n in range(3)]
+    for root, make in zip(roots, (training_bitext, held_out_bitext, training_bitext)):
+        K.write_paired_bitext(make(spark, sf_dir), f"{root}/talk", SRC_EXT, TGT_EXT, tagged=True)
+    return SourceFrames(spark, roots)[1, "talk"].select("sid", "line_no", _joined("src"), _joined("tgt"))
+
+
+@query
+def source_states(spark, sf_dir):
+    """Pairs, a file without partner, a pair of empty files, a folder that is not there."""
+    roots = [scratch_path(spark, f"state{n}") for n in range(3)]
+    held, trained = held_out_bitext(spark, sf_dir), training_bitext(spark, sf_dir)
+    K.write_paired_bitext(held, f"{roots[0]}/full", SRC_EXT, TGT_EXT)
+    K.write_lines(trained, f"{roots[0]}/lone.{SRC_EXT}", F.array_join("src", " "), "sid")
+    K.write_paired_bitext(trained.filter("sid < 0"), f"{roots[1]}/hollow", SRC_EXT, TGT_EXT)
+    return source_health(spark, roots)
+
+
 @query
 def gold_links(spark, sf_dir):
     path = scratch_path(spark, "gold")
@@ -518,6 +539,30 @@ def sort_desc(spark, sf_dir):
     return O.with_global_index(ranked, "_neg", "token", name="rank").select("rank", "token", "n")
 
 
+def _as_written(spark, rows, line):
+    """Rows of a sorted frame with their numbers, by writing it and reading it back."""
+    path = scratch_path(spark, "sorted")
+    K.write_lines(rows, path, line)
+    return N.text_lines(spark, path).select("line_no", "value")
+
+
+@query
+def sorted_words(spark, sf_dir):
+    """Words by falling count, as ``sort_rows`` leaves them."""
+    words = S.with_position(training_bitext(spark, sf_dir), "tgt", "sid").groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"))
+    return _as_written(spark, O.sort_rows(words, F.desc("n"), "token"),
+                       F.concat_ws(" ", "token", F.col("n").cast("string")))
+
+
+@query
+def reading_order(spark, sf_dir):
+    """Pairs of two files in reading order, as ``ordered_pairs`` leaves them."""
+    root = scratch_path(spark, "order")
+    _write_two_bases(spark, sf_dir, root)
+    return _as_written(spark, B.ordered_pairs(B.read_paired_bitext(spark, root)), F.array_join("src", " "))
+
+
 @query
 def lexicographic_sort(spark, sf_dir):
     return O.with_global_index(
@@ -559,6 +604,19 @@ def encoded_corpus(spark, sf_dir):
     return encode_corpus(document_lines(spark, sf_dir))[1]
 
 
+@query
+def encoded_files(spark, sf_dir):
+    """Documents dealt over three files, encoded together, read back from what was written."""
+    root = scratch_path(spark, "encode")
+    lines = document_lines(spark, sf_dir)
+    paths = [f"{root}/text{n}" for n in range(3)]
+    for n, path in enumerate(paths):
+        K.write_lines(lines.filter(F.pmod("line", F.lit(3)) == n), path, F.col("value"), "line")
+    encode_files(spark, f"{root}/dictionary", paths)
+    return N.text_lines(spark, [f"{path}.out" for path in paths]).select(
+        _last_name("dataset").alias("file"), "line_no", "value")
+
+
 @query
 def posterior_one_round(spark, sf_dir):
     held = _encoded(held_out_bitext(spark, sf_dir))
@@ -670,6 +728,20 @@ def whole_job(spark, sf_dir):
     return outcome.metrics.select(_r6("precision"), _r6("recall"), _r6("aer"))
 
 
+@query
+def job_on_files(spark, sf_dir):
+    """The whole job from files: ``e e | f f`` lines to train, a tagged pair of files to align, gold links."""
+    root = scratch_path(spark, "job")
+    trained, held = training_bitext(spark, sf_dir), held_out_bitext(spark, sf_dir)
+    vocab = _vocab(trained.unionByName(held.withColumn("sid", F.col("sid") + F.lit(1 << 61))))
+    K.write_pipe_bitext(encode_bitext(trained, vocab), f"{root}/train")
+    test = encode_bitext(held, vocab)
+    K.write_paired_bitext(test, f"{root}/test/talk", SRC_EXT, TGT_EXT, tagged=True)
+    K.write_gold(look_alike_gold(held), f"{root}/test.wa")
+    outcome = run(spark, f"{root}/train", f"{root}/test", f"{root}/test.wa", digits=DIGITS)
+    return outcome.metrics.select(_r6("precision"), _r6("recall"), _r6("aer"))
+
+
 @query
 def top_translations(spark, sf_dir):
     """The three most likely target words of every source word."""

@@ -66,6 +66,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Give a written folder its name; an empty one if nothing was written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path(target)):
+        raise FileExistsError(target)
+    done = files.rename(path(source), path(target)) if files.exists(path(source)) else files.mkdirs(path(target))
+    if not done:
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     checkpoint_dir(df.sparkSession)

@@ -51,6 +51,13 @@ def write_encoded(encoded: DataFrame, path: str, line: str = "line",
     write_lines(encoded, path, F.col("encoded"), line, compression=compression)
 
 
+def write_encoded_by_file(encoded: DataFrame, path: str, line: str = "line", file: str = "file") -> None:
+    """One folder ``file=n`` per file, its lines in order, all by one job."""
+    n = shuffle_partitions(encoded.sparkSession)
+    (encoded.repartitionByRange(n, file, line).sortWithinPartitions(file, line)
+     .select(file, F.col("encoded").alias("value")).write.partitionBy(file).text(path))
+
+
 def links_as_text(links: DataFrame, strength: str | None = None) -> DataFrame:
     """``sid, links``: the links of a sentence on one line, by target then source.
 

@@ -61,13 +61,18 @@ def pipe_rejects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 # --- parallel files base.en / base.fr ---------------------------------------
 
+def side_pattern(ext: str) -> str:
+    """Paths of a side's files; the first group is the base."""
+    return rf"^(.*)\.{re.escape(ext)}(?:\.gz)?(?:/part-[^/]*)?$"
+
+
 def side_lines(spark: SparkSession, sources: str | list[str], ext: str) -> DataFrame:
     """``source_idx, base, line_no, value`` of all files ``*.ext`` of the sources.
 
     ``base.ext`` may be a file or a directory of part files; ``.gz`` may follow.
     """
     sources = [sources] if isinstance(sources, str) else list(sources)
-    pattern = rf"^(.*)\.{re.escape(ext)}(?:\.gz)?(?:/part-[^/]*)?$"
+    pattern = side_pattern(ext)
     read = None
     for idx, source in enumerate(sources):
         numbered = number_lines(read_lines(spark, source, pattern), pattern).select(
@@ -99,8 +104,13 @@ def line_count_report(src_lines: DataFrame, tgt_lines: DataFrame) -> DataFrame:
     return line_counts(src_lines, tgt_lines).filter("n_src <> n_tgt")
 
 
-def paired_lines(src_lines: DataFrame, tgt_lines: DataFrame) -> DataFrame:
-    """Line pairs with ``pair_no``, their number in reading order over all bases."""
+def paired_lines(src_lines: DataFrame, tgt_lines: DataFrame, offset: int = 0,
+                 limit: int | None = None) -> DataFrame:
+    """Line pairs with ``pair_no``, their number in reading order over all bases.
+
+    ``offset`` and ``limit`` count pairs. As the counts of the bases tell every
+    line's number, lines outside the window go before the sides meet.
+    """
     counts = line_counts(src_lines, tgt_lines)
     before = (Window.orderBy("source_idx", "base")  # one row per file
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -108,14 +118,20 @@ def paired_lines(src_lines: DataFrame, tgt_lines: DataFrame) -> DataFrame:
         "source_idx", "base", F.coalesce(F.sum("n_pairs").over(before), F.lit(0)).alias("_start"))
     if fits_broadcast(counts.count(), TEXT_ROW_BYTES):
         starts = F.broadcast(starts)
-    keys = ["source_idx", "base", "line_no"]
-    pairs = zip_lines(src_lines.withColumnRenamed("value", "src_line"),
-                      tgt_lines.withColumnRenamed("value", "tgt_line"), keys)
-    return (
-        pairs.join(starts, ["source_idx", "base"])
-        .withColumn("pair_no", F.col("_start") + F.col("line_no"))
-        .drop("_start")
-    )
+    number = F.col("_start") + F.col("line_no")
+
+    def inside(lines: DataFrame) -> DataFrame:
+        kept = number > offset
+        if limit is not None:
+            kept = kept & (number <= offset + limit)
+        return lines.join(starts, ["source_idx", "base"]).filter(kept)
+
+    src, tgt = inside(src_lines), tgt_lines
+    if offset or limit is not None:
+        tgt = inside(tgt_lines).drop("_start")
+    pairs = zip_lines(src.withColumnRenamed("value", "src_line"), tgt.withColumnRenamed("value", "tgt_line"),
+                      ["source_idx", "base", "line_no"])
+    return pairs.withColumn("pair_no", number).drop("_start")
 
 
 def parse_pairs(pairs: DataFrame) -> DataFrame:
@@ -151,6 +167,22 @@ def _same_ids(parsed: DataFrame, strict: bool) -> DataFrame:
         F.lit("ids differ in "), F.col("source_file"), F.lit(", line "), F.col("line_no").cast("string")), strict)
 
 
+def _read_pairs(src_lines: DataFrame, tgt_lines: DataFrame, where: Column | str | None, offset: int,
+                limit: int | None, strict: bool) -> DataFrame:
+    """Accepted pairs in a window of reading order.
+
+    Where every pair counts, the window is one of line numbers, and only its lines
+    are paired and checked; else the ends are found among the accepted pairs.
+    """
+    if where is None and strict:
+        kept = _same_ids(parse_pairs(paired_lines(src_lines, tgt_lines, offset, limit)), strict)
+    else:
+        kept = accept_pairs(_same_ids(parse_pairs(paired_lines(src_lines, tgt_lines)), strict), where)
+        if offset or limit is not None:
+            kept = skip_take(kept, "pair_no", offset=offset, limit=limit)
+    return kept.select("sid", "source_idx", "source_file", "line_no", "pair_no", "src", "tgt")
+
+
 def read_paired_bitext(
     spark: SparkSession,
     sources: str | list[str],
@@ -167,12 +199,8 @@ def read_paired_bitext(
     sees the parsed columns; ``offset`` and ``limit`` count accepted pairs. A pair
     whose lines carry unlike ids is an error, or left out if not ``strict``.
     """
-    parsed = parse_pairs(paired_lines(
-        side_lines(spark, sources, src_ext), side_lines(spark, sources, tgt_ext)))
-    kept = accept_pairs(_same_ids(parsed, strict), where)
-    if offset or limit is not None:
-        kept = skip_take(kept, "pair_no", offset=offset, limit=limit)
-    return kept.select("sid", "source_idx", "source_file", "line_no", "pair_no", "src", "tgt")
+    return _read_pairs(side_lines(spark, sources, src_ext), side_lines(spark, sources, tgt_ext),
+                       where, offset, limit, strict)
 
 
 def read_bitext_files(
@@ -188,11 +216,7 @@ def read_bitext_files(
         return number_lines(read_lines(spark, path)).select(
             F.lit(0).alias("source_idx"), F.lit("").alias("base"), "line_no", "value")
 
-    parsed = parse_pairs(paired_lines(numbered(src_path), numbered(tgt_path)))
-    kept = accept_pairs(_same_ids(parsed, strict), where)
-    if limit is not None:
-        kept = skip_take(kept, "pair_no", limit=limit)
-    return kept.select("sid", "source_idx", "source_file", "line_no", "pair_no", "src", "tgt")
+    return _read_pairs(numbered(src_path), numbered(tgt_path), where, 0, limit, strict)
 
 
 def empty_sources(bitext: DataFrame, n_sources: int) -> DataFrame:

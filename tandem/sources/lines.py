@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ def read_lines(spark: SparkSession, paths: str | list[str],
     )
 
 
+def dataset_of(file: str) -> str:
+    """The dataset of a file name: itself, or the folder of part files it is in."""
+    return re.sub(r"/part-[^/]*$", "", file)
+
+
 def number_lines(lines: DataFrame, dataset_pattern: str | None = None) -> DataFrame:
     """Adds ``dataset``, ``line_no`` (1-based in the dataset), ``ordinal`` (1-based
     over all datasets in name order) and ``block_row`` (0-based in the block).
