@@ -128,7 +128,7 @@ def frequent(chunks: DataFrame) -> Types:
     zipped = F.arrays_zip(F.col("vocab").alias("word"), F.col("n").alias("n"))
     total = F.aggregate("n", F.lit(0).cast("long"), lambda t, x: t + x)
     common = chunks.select(total.alias("total"), zipped.alias("uses")).select(F.explode(F.filter(
-        "uses", lambda u: (u["n"] > 0) & (u["word"] != END) & (u["n"] * F.lit(COMMON) >= F.col("total")))).alias("use"))
+        "uses", lambda u: (u["n"] > 0) & (u["word"] != END) & (u["n"].cast("long") * F.lit(COMMON) >= F.col("total")))).alias("use"))
     return Types([END] + [r["word"] for r in common.groupBy(F.col("use.word").alias("word")).agg(
         F.sum("use.n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN - 1).collect()])
 
