@@ -108,7 +108,7 @@ def chunks_of(docs: DataFrame) -> DataFrame:
             yield flush()
 
     return stored(id_and_text(docs).withColumn("held", crc_of_id() % FOLDS == HELD_OUT)
-                  .mapInArrow(run, CHUNK), "chunks")
+                  .mapInArrow(run, CHUNK), "chunks", "zstd")
 
 
 class Types:
@@ -515,7 +515,7 @@ def scores(docs: DataFrame) -> DataFrame:
     of = exchange(bigrams, rest=True)
     back = stored(classified(uses_of(chunks, types, of), Around(bigrams, of)), "classified")
     model = Model(types, of[:-1], bigrams.sum(0)[:-1], class_sums(back))
-    texts = stored(in_classes(chunks, back, model), "in_classes")
+    texts = stored(in_classes(chunks, back, model), "in_classes", "zstd")
     tables = docs.sparkSession.sparkContext.broadcast(model.steps(class_bigrams(texts)).ravel())
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")

@@ -47,14 +47,14 @@ def hash_of_row(docs: DataFrame) -> Column:
     return F.xxhash64(*[quoted(c) for c, kind in docs.dtypes if "map" not in kind and kind != "variant"])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
     Cuts lineage like a checkpoint, but column-wise and compressed, so later
     passes read only the columns they need and survive a lost executor.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
