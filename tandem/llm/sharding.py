@@ -1,16 +1,16 @@
 """Shards of near-equal bytes, cut by a k-d tree over metadata.
 
 Each distinct text is a point: length, source, language and smallest id, all
-scaled to 0..1 over the table. A node takes its widest dimension and is cut where
-the bytes on the left match the share of the shards on the left (a weighted
-median for an even number). The cut is found by histograms of the key's next
-bits, one aggregation for all nodes of a level, so the driver sees at most
-nodes x 2048 sums. Ties in a dimension are ordered by a hash of the text.
+scaled to 0..1 over the table. A node is cut at the weighted
+median of its widest dimension, until leaves have at most 1/100 of a shard's bytes
+or one text. The cut is found by histograms of the key's next bits, one aggregation
+for all nodes of a level, of which the driver sees a row a node; nodes of few texts
+are finished inside a task. Ties in a dimension are ordered by a hash of the text.
+Leaves are dealt to the shards in runs along the tree, but for the largest and the
+smallest, which keep the shards even.
 
-Equal texts share a shard. Only a group of copies that fits in no shard is
-divided, by a hash of the id. Groups above 1/100 of a shard's bytes, fewer than
-100 a shard, are placed before the tree, largest first on the emptiest shard; the
-tree fills what they leave.
+Equal texts share a shard. Only a group of copies with more bytes than a shard and
+than any one text is divided, by a hash of the id, and stays out of the tree.
 
 Defined cases: null text has size 16 like an empty one, and is equal to it; a
 null in another column is a value of its own (0 for numbers); rows repeated are
@@ -20,8 +20,11 @@ no rows. Columns other than doc_id, text, lang, source are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ from tandem.session import shuffle_partitions
 VALUE_BITS, TIE_BITS, STEP = 20, 24, 11
 KEY_BITS = VALUE_BITS + TIE_BITS
 DIMENSIONS = ("chars", "source", "lang", "first_id")
-LARGE_PART = 100
+LARGE_PART, RUN_PART = 100, 10
+IN_TASK = 4096
+BROADCAST_ROWS = 200_000
 FIXED_BYTES = 16
 
 
@@ -56,9 +61,9 @@ def texts(rows: DataFrame) -> DataFrame:
         F.coalesce(F.min(ID), F.lit(0)).cast("double").alias("first_id"))
 
 
-def place_large(large: list[tuple[str, int]], shards: int, target: float):
+def place_large(large: list[tuple[str, int]], shards: int, target: float, filled: list[float] | None = None):
     """Pieces (digest, from, to, shard) of the hash range 0..1, and bytes by shard."""
-    filled, pieces = [0.0] * shards, []
+    filled, pieces = filled or [0.0] * shards, []
     for digest, size in sorted(large, key=lambda g: (-g[1], g[0])):
         start, left = 0.0, float(size)
         while start < 1.0:
@@ -87,98 +92,169 @@ def scaled_keys(points: DataFrame) -> list[Column]:
     return keys
 
 
-def descend(tree: list, leaf: Callable[[int], Column], node: int = 0) -> Column:
-    """What ``leaf`` gives for the node a point falls in, as nested conditions.
+def next_bits(points: DataFrame, nodes: DataFrame, shift: int) -> DataFrame:
+    """``nodes`` with STEP more bits of each cut: the cell in which half the bytes are reached.
 
-    ``tree`` has for each node (dimension, cut, left, right), or None for a leaf.
+    ``rest`` is the bytes of the node less twice those left of the cells chosen so far.
     """
-    if tree[node] is None:
-        return leaf(node)
-    dim, cut, left, right = tree[node]
-    return F.when(F.col(f"k_{DIMENSIONS[dim]}") < F.lit(cut), descend(tree, leaf, left)).otherwise(
-        descend(tree, leaf, right))
+    key = F.element_at(F.array(*[f"k_{c}" for c in DIMENSIONS]), F.col("dim") + 1)
+    before = W.partitionBy("path").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    return (points.join(F.broadcast(nodes), "path")
+            .filter(F.shiftright(key, shift + STEP) == F.col("cut"))
+            .groupBy("path", "dim", "rest", F.shiftright(key, shift).alias("cell"))
+            .agg(F.sum("bytes").alias("bytes"))
+            .withColumn("left", 2 * F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+            .filter((F.col("left") <= F.col("rest")) & (F.col("rest") < F.col("left") + 2 * F.col("bytes")))
+            .select("path", "dim", (F.col("rest") - F.col("left")).alias("rest"), F.col("cell").alias("cut"),
+                    F.col("bytes").alias("here")))
 
 
-def cut_points(points: DataFrame, tree: list, dims: dict[int, int], left: dict[int, float]) -> dict[int, int]:
-    """For each node in ``dims`` the least key right of its cut, STEP bits at a time.
+def split(points: DataFrame, nodes: list[tuple[str, int, int]]) -> DataFrame:
+    """Points of the nodes (path, dimension, bytes), cut at weighted medians: a digit more of path."""
+    spark = points.sparkSession
+    kind = "path string, dim int, rest long, cut long, here long"
+    found = [(path, dim, size, 0, 0) for path, dim, size in nodes]
+    for shift in range(KEY_BITS - STEP, -1, -STEP):
+        table = spark.createDataFrame(found, kind).drop("here")
+        found = [tuple(r) for r in next_bits(points, table, shift).collect()]
+    # nearer with the last key on the left: its right neighbour is the cut
+    cuts = [(path, dim, cut + (rest > here)) for path, dim, rest, cut, here in found]
+    key = F.element_at(F.array(*[f"k_{c}" for c in DIMENSIONS]), F.col("dim") + 1)
+    side = F.when(key < F.col("cut"), F.lit("0")).otherwise(F.lit("1"))
+    return (points.join(F.broadcast(spark.createDataFrame(cuts, "path string, dim int, cut long")), "path")
+            .withColumn("path", F.concat("path", side)).drop("dim", "cut"))
+
+
+def split_here(keys: np.ndarray, sizes: np.ndarray, limit: float) -> list[str]:
+    """The path of each point below a node that one task holds, by the same cuts."""
+    paths, todo = [""] * len(sizes), [(np.arange(len(sizes)), "")]
+    while todo:
+        own, path = todo.pop()
+        total, widths = int(sizes[own].sum()), np.ptp(keys[own], axis=0)
+        if total <= limit or not widths.any():
+            for i in own:
+                paths[i] = path
+            continue
+        column = keys[own, int(np.argmax(widths))]
+        order = np.argsort(column, kind="stable")
+        found, first = np.unique(column[order], return_index=True)
+        sums = np.add.reduceat(sizes[own][order], first)
+        ends = 2 * np.cumsum(sums)
+        chosen = int(np.searchsorted(ends, total, side="right"))
+        rest = total - (int(ends[chosen]) - 2 * int(sums[chosen]))
+        left = column < found[chosen + (rest > sums[chosen])]
+        todo += [(own[left], path + "0"), (own[~left], path + "1")]
+    return paths
+
 
-    ``left`` has the bytes wanted on the left of each node's cut.
+def grow_tree(points: DataFrame, limit: float, in_task: int = IN_TASK) -> DataFrame:
+    """Points with the ``path`` of their leaf: at most ``limit`` bytes, or one text.
+
+    A level is a few aggregations over all its nodes; the driver has a row a node, of
+    which there are fewer than bytes / ``limit`` a level. A node of at most ``in_task``
+    texts is finished by one task.
     """
-    prefix, wanted = dict.fromkeys(dims, 0), dict(left)
-    node = descend(tree, lambda n: F.lit(n))
-    key = descend(tree, lambda n: F.col(f"k_{DIMENSIONS[dims.get(n, 0)]}"))
-    for shift in range(KEY_BITS - STEP, -1, -STEP):
-        top = descend(tree, lambda n: F.lit(prefix.get(n, -1)).cast("long"))  # noqa: B023
-        sums = (points.filter(F.shiftright(key, shift + STEP) == top)
-                .groupBy(node.alias("node"), F.shiftright(key, shift).alias("cell"))
-                .agg(F.sum("bytes").alias("bytes")).collect())
-        cells: dict[int, dict[int, int]] = {}
-        for r in sums:
-            cells.setdefault(r["node"], {})[r["cell"]] = r["bytes"]
-        for n in dims:
-            # the cell in which the wanted sum is reached; past the last: all left
-            chosen = (prefix[n] << STEP) + (1 << STEP) - 1
-            for cell in sorted(cells.get(n, {})):
-                size = cells[n][cell]
-                if wanted[n] < size:
-                    chosen = cell
-                    break
-                wanted[n] -= size
-            prefix[n] = chosen
-            if shift == 0 and wanted[n] * 2 > cells.get(n, {}).get(chosen, 0):
-                prefix[n] += 1  # nearer with this last key on the left
-    return prefix
-
-
-def grow_tree(points: DataFrame, room: list[float]) -> Column:
-    """The shard of a point; ``room`` is a shard's share of the bytes."""
     keys = [f"k_{c}" for c in DIMENSIONS]
-    tree, ends = [None], {0: (0, len(room))}  # shards [from, to) of the nodes at the bottom
-    while any(b - a > 1 for a, b in ends.values()):
-        widths = {r["node"]: r for r in points.groupBy(
-            descend(tree, lambda n: F.lit(n)).alias("node")).agg(
-            F.sum("bytes").alias("bytes"), *[(F.max(k) - F.min(k)).alias(k) for k in keys]).collect()}
-        dims, left = {}, {}
-        for n, (a, b) in ends.items():
-            if b - a > 1:
-                row, whole, half = widths.get(n), sum(room[a:b]), sum(room[a:(a + b) // 2])
-                dims[n] = max(range(len(keys)), key=lambda i: row[keys[i]]) if row else 0
-                left[n] = (row["bytes"] if row else 0) * (half / whole if whole > 0 else 0.5)
-        for n, cut in cut_points(points, tree, dims, left).items():
-            a, b = ends.pop(n)
-            tree[n] = (dims[n], cut, len(tree), len(tree) + 1)
-            ends |= {len(tree): (a, (a + b) // 2), len(tree) + 1: ((a + b) // 2, b)}
-            tree += [None, None]
-    return descend(tree, lambda n: F.lit(ends[n][0]))
-
-
-def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
+    kind = points.withColumn("path", F.lit("")).schema
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        below = split_here(part[keys].to_numpy(np.int64), part["bytes"].to_numpy(np.int64), limit)
+        return part.assign(path=part["path"] + pd.Series(below, index=part.index))
+
+    level, done, small = points.withColumn("path", F.lit("")), [], []
+    while True:
+        nodes = level.groupBy("path").agg(
+            F.count(F.lit(1)).alias("texts"), F.sum("bytes").alias("bytes"),
+            *[(F.max(k) - F.min(k)).alias(k) for k in keys]).filter(F.col("bytes") > F.lit(limit)).collect()
+        cut, whole = [], []
+        for r in nodes:
+            widths = [r[k] for k in keys]
+            if r["texts"] <= in_task:
+                whole.append((r["path"],))
+            elif any(widths):
+                cut.append((r["path"], widths.index(max(widths)), r["bytes"]))
+        table = lambda rows: F.broadcast(points.sparkSession.createDataFrame(rows, "path string"))
+        if whole:
+            small.append(level.join(table(whole), "path").select(*kind.names))
+        done.append(level.join(table(whole + [n[:1] for n in cut]), "path", "left_anti").select(*kind.names))
+        if not cut:
+            break
+        level = stored(split(level, cut).select(*kind.names), "level")
+    if small:
+        done.append(reduce(DataFrame.unionByName, small).groupBy("path").applyInPandas(finish, kind))
+    return reduce(DataFrame.unionByName, done)
+
+
+def place_leaves(leaves: list[tuple[str, int]], divided: list[tuple[str, int]], shards: int, target: float):
+    """(path, shard) of the leaves, and the pieces of the groups to divide.
+
+    Leaves above a tenth of a shard go first, largest first to the emptiest shard, and
+    divided groups fill up. Then each shard takes a run of leaves in the order of the
+    tree; the smallest leaves, a tenth of the bytes, even out what is left.
+    """
+    by_size = lambda rows: sorted(rows, key=lambda r: (-r[1], r[0]))
+    filled, places = [0.0] * shards, []
+
+    def put_on_emptiest(rows: list[tuple[str, int]]) -> None:
+        heap = [(size, s) for s, size in enumerate(filled)]
+        heapq.heapify(heap)
+        for path, size in by_size(rows):
+            _, s = heap[0]
+            places.append((path, s))
+            filled[s] += size
+            heapq.heapreplace(heap, (filled[s], s))
+
+    put_on_emptiest([r for r in leaves if r[1] * RUN_PART > target])
+    pieces, filled = place_large(divided, shards, target, filled)
+    rest = by_size(r for r in leaves if r[1] * RUN_PART <= target)
+    bytes_left, held = sum(r[1] for r in rest) / RUN_PART, []
+    while rest and bytes_left > 0:
+        held.append(rest.pop())
+        bytes_left -= held[-1][1]
+    caps = [f + max(0.0, target - f) * (1 - 1 / RUN_PART) for f in filled]
+    s = 0
+    for path, size in sorted(rest):
+        while s < shards and filled[s] + size / 2 > caps[s]:
+            s += 1
+        if s < shards:
+            places.append((path, s))
+            filled[s] += size
+        else:
+            held.append((path, size))
+    put_on_emptiest(held)
+    return places, pieces
+
+
+def shard(docs: DataFrame, shards: int = 40, in_task: int = IN_TASK) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, shard, slot (gapless from 0)."""
     rows = stored(metadata(docs), "metadata")
     groups = stored(texts(rows).withColumn("tie", F.xxhash64("digest")), "texts")
     totals = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
-                        F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+                        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                        F.coalesce(F.max(F.col("bytes") / F.col("n")), F.lit(0.0)).alias("longest")).first()
     target = totals["bytes"] / shards
-    # groups above target / 100: fewer than 100 a shard
-    large = groups.filter(F.col("bytes") * LARGE_PART > F.lit(target))
-    pieces, filled = place_large([(r["digest"], r["bytes"]) for r in large.select(
-        "digest", "bytes").collect()], shards, target)
-    small = groups.filter(F.col("bytes") * LARGE_PART <= F.lit(target))
-    points = stored(small.select("digest", "n", "bytes", *scaled_keys(small)), "points")
-    leaf = grow_tree(points, [max(0.0, target - f) for f in filled])
-    small = stored(points.select("digest", "n", leaf.alias("shard")), "leaves")
+    # copies that fit in no shard: fewer such groups than shards
+    beyond = F.col("bytes") > F.lit(max(target, totals["longest"]))
+    divided = [(r["digest"], r["bytes"]) for r in groups.filter(beyond).select("digest", "bytes").collect()]
+    whole = groups.filter(~beyond)
+    points = stored(whole.select("digest", "n", "bytes", *scaled_keys(whole)), "points")
+    leaves = stored(grow_tree(points, target / LARGE_PART, in_task).select("digest", "n", "bytes", "path"), "leaves")
+    places, pieces = place_leaves([(r["path"], r["bytes"]) for r in leaves.groupBy("path").agg(
+        F.sum("bytes").alias("bytes")).collect()], divided, shards, target)
 
     spark = docs.sparkSession
+    homes = spark.createDataFrame(places, "path string, shard int")
+    homes = F.broadcast(homes) if len(places) <= BROADCAST_ROWS else homes
     table = F.broadcast(spark.createDataFrame(
         pieces, "digest string, start double, end double, shard int"))
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("piece"), F.col(ID)), 11) / float(1 << 53)
-    in_large = (rows.withColumn("spot", spot).join(table, "digest")
-                .filter((F.col("spot") >= F.col("start")) & (F.col("spot") < F.col("end"))))
-    in_small = join_groups(
-        rows.join(F.broadcast(large.select("digest")), "digest", "left_anti"),
-        small, "digest", "n", totals["n"])
+    in_pieces = (rows.withColumn("spot", spot).join(table, "digest")
+                 .filter((F.col("spot") >= F.col("start")) & (F.col("spot") < F.col("end"))))
+    in_leaves = join_groups(
+        rows.join(table.select("digest").distinct(), "digest", "left_anti"),
+        leaves.join(homes, "path").select("digest", "n", "shard"), "digest", "n", totals["n"])
     columns = (ID, "size", "text_crc32", "shard")
-    placed = stored(in_large.select(*columns).unionByName(in_small.select(*columns)), "placed")
+    placed = stored(in_pieces.select(*columns).unionByName(in_leaves.select(*columns)), "placed")
     return numbered(placed)
 
 
