@@ -179,3 +179,42 @@ def test_null_and_empty_sides_count_as_empty(spark):
     bitext = spark.createDataFrame([(1, [1], [2]), (2, [], []), (3, None, [2])],
                                    "sid long, src array<int>, tgt array<int>")
     assert {(r.e, r.f) for r in train(bitext, 2).collect()} == {(0, 2), (1, 2)}
+
+
+def test_state_keeps_counts_of_shared_cells_only(spark, monkeypatch):
+    """Cells of a single pair have no number in a round's state, and block and part exchange one row."""
+    seen, real = [], blocks.Tables.write
+
+    def write(self, df, name):
+        out = real(self, df, name)
+        if name.startswith("round"):
+            seen.append((self.n, out.select("block", "sums", "counts", "unit").collect()))
+        return out
+
+    monkeypatch.setattr(blocks.Tables, "write", write)
+    bitext = [([10 * i + j for j in range(5)] + [1], [10 * i + j for j in range(7)] + [1]) for i in range(1, 9)]
+    got = as_dict(train(frame(spark, bitext), 3))
+    assert_close(got, em(bitext, 3))
+    for n, rows in seen:
+        counts = sum(len(r.counts) // 8 for r in rows)
+        assert 0 < counts < len(got) / 4 and sum(len(r.unit) // 8 for r in rows) == 8 * 8
+        assert all(len(r.sums) == n for r in rows)
+
+
+@pytest.mark.parametrize("growth", [False, True])
+def test_many_rounds_of_rare_words(spark, growth):
+    """Products of 40 rounds agree with probabilities that are multiplied round by round, down to the smallest."""
+    bitext = random_bitext(11, n=25, words=200, longest=12)
+    got, want = as_dict(train(frame(spark, bitext), 40, null_growth=growth)), em(bitext, 40, growth=growth)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-9 * want[k] + 1e-300 for k in want)
+
+
+def test_broadcast_that_does_not_fit_counts_cells_by_blocks(spark, monkeypatch):
+    """Asked to broadcast, a table over the limit is counted without an exchange of cells."""
+    from tandem.operators import em as module, pairs
+
+    for place in (module, pairs):
+        monkeypatch.setattr(place, "cooccurrence_of_bags", lambda bags: pytest.fail("cells were exchanged"), raising=False)
+    bitext = random_bitext(4)
+    assert_close(as_dict(train(frame(spark, bitext), 2, strategy="broadcast", broadcast_limit=64)), em(bitext, 2))
