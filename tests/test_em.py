@@ -218,3 +218,30 @@ def test_broadcast_that_does_not_fit_counts_cells_by_blocks(spark, monkeypatch):
         monkeypatch.setattr(place, "cooccurrence_of_bags", lambda bags: pytest.fail("cells were exchanged"), raising=False)
     bitext = random_bitext(4)
     assert_close(as_dict(train(frame(spark, bitext), 2, strategy="broadcast", broadcast_limit=64)), em(bitext, 2))
+
+
+def test_cooccurrence_exchanges_no_cells(spark):
+    """Cells come out of their blocks; a cut word's are added up, and a null token is a token."""
+    bitext = frame(spark, random_bitext(6))
+    counts = cooccurrence(bitext)
+    assert "Exchange" not in plan_of(counts)
+    bags = with_null_word(sentence_bags(bitext), null_token(bitext))
+    laid = blocks.make_blocks(bags, null_token(bitext), 60)
+    assert laid.cut
+    cut = {(r.e, r.f): r.n for r in blocks.cell_counts(laid).collect()}
+    laid.tables.drop()
+    assert cut == {(r.e, r.f): r.n for r in counts.collect()} and len(cut) == counts.count()
+    odd = spark.createDataFrame([(1, [None, "a"], ["x", None])], "sid long, src array<string>, tgt array<string>")
+    assert {(r.e, r.f, r.n) for r in cooccurrence(odd, with_null=False).collect()} == {
+        (e, f, 1) for e in (None, "a") for f in ("x", None)}
+
+
+def test_posterior_rows_keep_given_ids_without_an_exchange(spark):
+    """Shares leave their block with the given id, a null one too; no join on the sentence moves them."""
+    from tandem.operators.em import posterior
+
+    bitext = spark.createDataFrame([(None, [1], [5]), ((1 << 60) + 1, [2], [5, 6])], "sid long, src array<int>, tgt array<int>")
+    shares = posterior(bitext, train(bitext, 1))
+    assert not re.search(r"Exchange hashpartitioning\((given_)?sid", plan_of(shares))
+    got = {(r.sid, r.e, r.f) for r in shares.collect()}
+    assert got == {(None, e, 5) for e in (0, 1)} | {((1 << 60) + 1, e, f) for e in (0, 2) for f in (5, 6)}

@@ -170,3 +170,11 @@ def test_encoding_keeps_pairs_without_words(spark):
     vocab = spark.createDataFrame([("a", 1)], "word string, id long")
     rows = sorted((r.sid, r.src, r.tgt) for r in encode_bitext(bitext, vocab).collect())
     assert rows == [(1, [1], [-1]), (2, [], []), (3, [], [1]), (3, [-1], [])]
+
+
+def test_upsert_without_versions_is_a_hash_aggregation(spark):
+    base = spark.createDataFrame([(1, 1, 5), (1, 2, 7), (2, 2, 9)], "e int, f int, n long")
+    updates = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (2, 2, None), (3, 3, 4)], "e int, f int, n long")
+    out = C.upsert_counts(base, updates)
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.e, r.f): r.n for r in out.collect()} == {(1, 1): 3, (1, 2): 7, (2, 2): None, (3, 3): 4}
