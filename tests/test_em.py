@@ -245,3 +245,29 @@ def test_posterior_rows_keep_given_ids_without_an_exchange(spark):
     assert not re.search(r"Exchange hashpartitioning\((given_)?sid", plan_of(shares))
     got = {(r.sid, r.e, r.f) for r in shares.collect()}
     assert got == {(None, e, 5) for e in (0, 1)} | {((1 << 60) + 1, e, f) for e in (0, 2) for f in (5, 6)}
+
+
+def test_every_block_has_a_part_of_its_own(spark):
+    """Numbers 0 to n - 1 collide when they are hashed, and a task gets several whole blocks at once."""
+    for n in (1, 2, 7, 57):
+        numbers = blocks.block_numbers(spark, n)
+        parts = spark.createDataFrame([(x,) for x in numbers], "block int").select(
+            F.pmod(F.hash("block"), F.lit(n)).alias("part")).collect()
+        assert [r.part for r in parts] == list(range(n)) and len(set(numbers)) == n
+    laid = blocks.make_blocks(with_null_word(sentence_bags(frame(spark, random_bitext(7))), null_token(frame(spark, random_bitext(7)))),
+                              null_token(frame(spark, random_bitext(7))), 60)
+    rows = laid.rows.groupBy(F.input_file_name()).count().collect()
+    laid.tables.drop()
+    assert len(rows) > 1 and all(r["count"] == 1 for r in rows)
+
+
+def test_payload_is_narrow_and_compressed():
+    import pickle
+
+    import numpy as np
+
+    parts = np.arange(50_000, dtype=np.int32) % 90, blocks.narrow(np.array([-1, 0, 250])), blocks.narrow(np.empty(0, np.int64))
+    payload = blocks.packed(parts)
+    assert len(payload) * 10 < len(pickle.dumps(parts, 5))
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(parts, blocks.unpacked(payload)))
+    assert parts[1].tolist() == [-1, 0, 250] and parts[1].dtype == np.int16
