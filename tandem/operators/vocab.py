@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tandem.session import (
 
 # Source side first, then the target side, as two files one after the other.
 _TGT_LINE = 1 << 62
+# Tokens of a block of lines that are looked up together, by one look-up a distinct word.
+BLOCK_TOKENS = 2_000_000
 
 
 def line_words(lines: DataFrame, words: Column, line: str = "line") -> DataFrame:
@@ -52,7 +57,7 @@ def first_seen_vocab(lines: DataFrame, words: Column, line: str = "line") -> Dat
     )
 
 
-def _vocab_fits(vocab: DataFrame, broadcast_limit: int | None) -> bool:
+def vocab_fits(vocab: DataFrame, broadcast_limit: int | None) -> bool:
     limit = BROADCAST_LIMIT_BYTES if broadcast_limit is None else broadcast_limit
     return fits_broadcast(vocab.count(), TEXT_ROW_BYTES, limit)
 
@@ -68,17 +73,59 @@ def _by_row(rows: DataFrame, key: str, fits: bool) -> DataFrame:
 
 def encode_lines(lines: DataFrame, words: Column, vocab: DataFrame, line: str = "line",
                  broadcast_limit: int | None = None) -> DataFrame:
-    """``line, ids``: words replaced by their ids, in order.
+    """``line, ids``: words replaced by their ids, in order; lines without any are left out.
 
-    A frequent word would draw all its tokens to one task of a shuffled join;
-    :func:`lookup_join` avoids that when the vocabulary is too big to broadcast.
+    Beyond a broadcast, lines are looked up by blocks, see :func:`encode_rows`.
     """
-    fits = _vocab_fits(vocab, broadcast_limit)
-    tokens = line_words(_by_row(lines, line, fits), words, line)
-    looked_up = lookup_join(tokens, vocab, ["word"], broadcast_limit=broadcast_limit)
-    grouped = looked_up.groupBy("line").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_t"))
-    return grouped.select("line", F.transform("_t", lambda t: t["id"]).alias("ids"))
+    if vocab_fits(vocab, broadcast_limit):
+        tokens = line_words(_by_row(lines, line, True), words, line)
+        looked_up = lookup_join(tokens, vocab, ["word"], broadcast_limit=broadcast_limit)
+        grouped = looked_up.groupBy("line").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_t"))
+        return grouped.select("line", F.transform("_t", lambda t: t["id"]).alias("ids"))
+    return encode_rows(lines.select(F.col(line).alias("line"), words.alias("words")), vocab).filter(
+        F.col("first") & (F.size("ids") > 0)).select("line", "ids")
+
+
+def encode_rows(rows: DataFrame, vocab: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows ``line, words, …`` with ``ids`` in place of ``words``, and whether they are the ``first`` of their line.
+
+    Lines are dealt over blocks by their number. A block asks for each of its distinct words
+    once, so that no token is exchanged, and a frequent word has one row a block. Rows of one
+    ``line`` share a block; each gets the ids of all of them, by position, then id.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.greatest(F.size("words"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    n = max(shuffle_partitions(rows.sparkSession), -(-total // block_tokens))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")).repartition(n, "block")
+    wanted = dealt.select("block", F.explode("words").alias("word")).distinct()
+    found = wanted.join(vocab.select("word", "id"), "word").select(F.col("block").alias("of"), "word", "id")
+    kept = [f for f in rows.schema if f.name != "words"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", ids array<long>, first boolean"
+
+    def encode(lines: pa.Table, known: pa.Table) -> pa.Table:
+        return _encode(lines, known, [f.name for f in kept])
+
+    return dealt.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(encode, schema)
+
+
+def _encode(lines: pa.Table, known: pa.Table, kept: list[str]) -> pa.Table:
+    lines, known = lines.combine_chunks(), known.combine_chunks()
+    words = lines.column("words").combine_chunks() if len(lines) else pa.array([], lines.schema.field("words").type)
+    code = lines.column("line").combine_chunks().dictionary_encode("encode").indices.to_numpy() if len(lines) else np.empty(0, int)
+    found = pc.index_in(words.flatten(), value_set=known.column("word"))
+    there = found.is_valid().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    row = np.repeat(np.arange(len(lines)), sizes)[there]
+    ids = known.column("id").to_numpy()[found.drop_null().to_numpy()]
+    n = int(code.max(initial=-1)) + 1
+    if n < len(lines):  # rows that share their line
+        pos = (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))[there]
+        row, ids = code[row], ids[np.lexsort((ids, pos, code[row]))]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids, pa.int64())).cast(pa.list_(pa.int64()))
+    first = np.zeros(len(lines), bool)
+    first[np.unique(code, return_index=True)[1]] = True
+    return pa.table([*[lines.column(c) for c in kept], lists.take(pa.array(code)), pa.array(first)], [*kept, "ids", "first"])
 
 
 def encode_bitext(bitext: DataFrame, vocab: DataFrame,
@@ -95,7 +142,7 @@ def encode_bitext(bitext: DataFrame, vocab: DataFrame,
     # a number of its own keeps pairs of one sid apart; it is fixed by writing it down
     keyed = cut_lineage(bitext.select(
         F.monotonically_increasing_id().alias("_pair"), "sid", known("src").alias("src"), known("tgt").alias("tgt")))
-    rows = _by_row(keyed, "_pair", _vocab_fits(vocab, broadcast_limit))
+    rows = _by_row(keyed, "_pair", vocab_fits(vocab, broadcast_limit))
     tokens = rows.select(
         "_pair", "sid", F.explode_outer(F.concat(side("src", False), side("tgt", True))).alias("x")
     ).select("_pair", "sid", "x.t", "x.pos", "x.word")

@@ -11,7 +11,7 @@ from tandem.functions.text import envelope_body, split_spaces
 from tandem.operators.joins import lookup_join
 from tandem.operators.order import with_global_index
 from tandem.operators.vocab import first_seen_vocab, vocab_growth
-from tandem.session import TEXT_ROW_BYTES, cut_lineage, fits_broadcast, move_folder, remove_path
+from tandem.session import TEXT_ROW_BYTES, fits_broadcast, move_folder, remove_path, written
 from tandem.sinks.text import encoded_lines, write_encoded_by_file, write_vocab
 from tandem.sources.folders import file_names, resolved
 from tandem.sources.lines import dataset_of, number_lines, read_lines
@@ -84,8 +84,9 @@ def encode_files(spark: SparkSession, dictionary: str, paths: list[str]) -> Data
     get their names. Returns the vocabulary size after each file.
     """
     lines, places = read_corpus(spark, paths)
-    lines = cut_lineage(lines)
+    lines = written(lines, "lines")
     vocab, encoded = encode_corpus(lines)
+    encoded = written(encoded, "encoded")  # else the range partitions' sample encodes all once more
 
     def with_file(rows: DataFrame) -> DataFrame:
         return rows.withColumn("place", F.shiftright("line", LINE_BITS)).join(

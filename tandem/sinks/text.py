@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.links import link_text
 from tandem.functions.text import envelope_body, envelope_prefix, envelope_suffix, split_spaces
-from tandem.operators.vocab import encode_lines
+from tandem.operators.vocab import encode_lines, encode_rows, vocab_fits
 from tandem.session import shuffle_partitions
 
 
@@ -36,13 +36,18 @@ def read_vocab(df_lines: DataFrame) -> DataFrame:
 
 
 def encoded_lines(lines: DataFrame, vocab: DataFrame, line: str = "line",
-                  value: str = "value") -> DataFrame:
+                  value: str = "value", broadcast_limit: int | None = None) -> DataFrame:
     """``line, encoded``: ids in place of words, the sentence envelope kept as is."""
     text = F.col(value)
-    ids = encode_lines(lines, split_spaces(envelope_body(text)), vocab, line)
-    frame = lines.select(line, envelope_prefix(text).alias("_pre"), envelope_suffix(text).alias("_post"))
+    words, pre, post = split_spaces(envelope_body(text)), envelope_prefix(text), envelope_suffix(text)
+    frame = lines.select(line, pre.alias("_pre"), post.alias("_post"))
+    if vocab_fits(vocab, broadcast_limit):
+        ids = encode_lines(lines, words, vocab, line, broadcast_limit)
+        joined = frame.join(ids.withColumnRenamed("line", line), line, "left")
+    else:  # prefix and suffix go with their line's words; a line without a number has no ids
+        joined = encode_rows(lines.select(F.col(line).alias("line"), words.alias("words"), pre.alias("_pre"), post.alias("_post")),
+                             vocab).withColumn("ids", F.when(F.col("line").isNotNull(), F.col("ids"))).withColumnRenamed("line", line)
     body = F.coalesce(F.array_join("ids", " "), F.lit(""))
-    joined = frame.join(ids.withColumnRenamed("line", line), line, "left")
     return joined.select(line, F.concat("_pre", body, F.lit(" "), "_post").alias("encoded"))
 
 
