@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.session import shuffle_partitions
+
 KEYS = ["sid", "e_pos", "f_pos"]
+# Position pairs of sentences of which one task holds the links at most, as far as links are spread evenly.
+TASK_PAIRS = 4_000_000
+
+
+def link_tasks(bitext: DataFrame) -> int:
+    """Tasks for the links of a bitext, by its position pairs. Links are small once compressed, so that tasks
+    dealt by stored bytes get more of them the more there are."""
+    def words(side: str) -> Column:
+        return F.greatest(F.size(side), F.lit(0)).cast("long")
+
+    pairs = bitext.agg(F.coalesce(F.sum(words("src") * words("tgt")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(bitext.sparkSession), -(-pairs // TASK_PAIRS))
 
 
-def build_links(rows: DataFrame) -> DataFrame:
+def build_links(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row per link. Links with a negative position are dropped; a link given
-    as possible and as sure is sure."""
+    as possible and as sure is sure. ``tasks`` of them, if given, whatever the bytes."""
+    rows = rows.filter("e_pos >= 0 and f_pos >= 0")
     return (
-        rows.filter("e_pos >= 0 and f_pos >= 0")
+        (rows.repartition(tasks, *KEYS) if tasks else rows)
         .groupBy(*KEYS).agg(F.max("sure").alias("sure"))
     )
 

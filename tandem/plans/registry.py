@@ -286,7 +286,8 @@ def invalid_links(spark, sf_dir):
 def links_build(spark, sf_dir):
     gold = _gold(spark, sf_dir)
     possible = gold.withColumn("sure", F.lit(False))
-    return L.build_links(possible.unionByName(gold).unionByName(_shifted(spark, sf_dir)))
+    return L.build_links(possible.unionByName(gold).unionByName(_shifted(spark, sf_dir)),
+                         L.link_tasks(held_out_bitext(spark, sf_dir)))
 
 
 @query
@@ -302,8 +303,9 @@ def links_for_source(spark, sf_dir):
 @query
 def link_states(spark, sf_dir):
     """State and text of every gold link and of every link one word to its right."""
-    gold = _gold(spark, sf_dir)
-    moved = gold.select("sid", (F.col("e_pos") + 1).alias("e_pos"), "f_pos").unionByName(gold.select(*L.KEYS)).distinct()
+    gold, tasks = _gold(spark, sf_dir), L.link_tasks(held_out_bitext(spark, sf_dir))
+    moved = gold.select("sid", (F.col("e_pos") + 1).alias("e_pos"), "f_pos").unionByName(gold.select(*L.KEYS)).repartition(
+        tasks, *L.KEYS).distinct()
     marked = moved.join(gold, L.KEYS, "left")
     state = link_state(F.col("sure"), F.col("sure").isNotNull())
     strength = F.when(F.col("sure").isNull(), F.lit(0.5))

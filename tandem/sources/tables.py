@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions.text import words_lower
-from tandem.operators.links import build_links
+from tandem.operators.links import build_links, link_tasks
 from tandem.session import spread
 
 # A sentence id is conversation * TURNS + turn.
@@ -55,9 +55,11 @@ def look_alike_gold(bitext: DataFrame) -> DataFrame:
 
     Joined on (sentence, letters): positions that share nothing never meet.
     """
+    tasks = link_tasks(bitext)
+
     def tokens(column: str, pos: str, word: str) -> DataFrame:
         return bitext.select("sid", F.posexplode(column).alias(pos, word)).withColumn(
-            "letters", F.substring(word, 1, 2))
+            "letters", F.substring(word, 1, 2)).repartition(tasks, "sid", "letters")
 
     met = tokens("src", "e_pos", "e").join(tokens("tgt", "f_pos", "f"), ["sid", "letters"])
-    return build_links(met.select("sid", "e_pos", "f_pos", (F.col("e") == F.col("f")).alias("sure")))
+    return build_links(met.select("sid", "e_pos", "f_pos", (F.col("e") == F.col("f")).alias("sure")), tasks)
