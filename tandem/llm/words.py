@@ -33,10 +33,19 @@ class WordCache:
 
 
 _CACHES: dict[str, WordCache] = {}
+#: What empties the caches of a kind; a worker outlives a stage of the pipeline and would keep those of all.
+FORGETS: list[Callable[[], None]] = [_CACHES.clear]
+
+
+def forget_others(mine: Callable[[], None]) -> None:
+    for forget in FORGETS:
+        if forget is not mine:
+            forget()
 
 
 def cache(key: str, make: Callable[[list[bytes]], list]) -> WordCache:
-    """This worker's cache for one model; the caches of earlier models go."""
+    """This worker's cache for one model; the caches of earlier models go, and those of other kinds."""
+    forget_others(FORGETS[0])
     if key not in _CACHES:
         for old in [k for k in _CACHES if k.split(":")[0] == key.split(":")[0]]:
             del _CACHES[old]

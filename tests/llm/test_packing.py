@@ -50,3 +50,22 @@ def test_costs_are_balanced():
 
 def test_empty_table(nothing):
     assert pack(nothing, FILE).count() == 0
+
+
+def test_plain_words_go_to_the_model_and_keep_their_ids():
+    """The library's search for pieces is left out where it finds what a pattern finds; other caches are let go."""
+    from tandem.llm import tokens, words
+
+    texts = ["It's plain, isn't it? (42nd) a_b--c 3.14 x²", "naïve Ärger ÷ 中文字 한국어 привет е́ ٣ ࡰ ﬁ", "\nline\n-5\n", " a <|endoftext|>,", ""]
+    made = tokens.Coder(FILE, True)
+    words.cache("cells:test", lambda found: found).look([b"a"])
+    sent = []
+    whole = made.whole
+    made.whole = lambda found: sent.extend(found) or whole(found)
+    assert made.encode(texts) == [x for t in texts for x in whole([t])]
+    assert not any(tokens.PLAIN.fullmatch(w) for w in sent)
+    tokens.coder(FILE, True)
+    assert not words._CACHES
+    tokens.coder(FILE, True).encode(["some words"])
+    words.cache("cells:test", lambda found: found)
+    assert not tokens.coder.__globals__["_CODERS"][FILE, True].known
