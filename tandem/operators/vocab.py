@@ -83,23 +83,25 @@ def encode_lines(lines: DataFrame, words: Column, vocab: DataFrame, line: str =
         grouped = looked_up.groupBy("line").agg(
             F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_t"))
         return grouped.select("line", F.transform("_t", lambda t: t["id"]).alias("ids"))
-    return encode_rows(lines.select(F.col(line).alias("line"), words.alias("words")), vocab).filter(
+    return encode_rows(lines.withColumnRenamed(line, "line"), words, vocab).filter(
         F.col("first") & (F.size("ids") > 0)).select("line", "ids")
 
 
-def encode_rows(rows: DataFrame, vocab: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows ``line, words, …`` with ``ids`` in place of ``words``, and whether they are the ``first`` of their line.
+def encode_rows(rows: DataFrame, words: Column, vocab: DataFrame, *carry: Column,
+                block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``line``, the columns ``carry``, the ``ids`` of the words, and whether a row is the ``first`` of its line.
 
     Lines are dealt over blocks by their number. A block asks for each of its distinct words
-    once, so that no token is exchanged, and a frequent word has one row a block. Rows of one
+    once, so that lines are exchanged as they are and no token is, and a frequent word has one row a block. Rows of one
     ``line`` share a block; each gets the ids of all of them, by position, then id.
     """
-    total = rows.agg(F.coalesce(F.sum(F.greatest(F.size("words"), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum(F.greatest(F.size(words), F.lit(0)).cast("long")), F.lit(0))).first()[0]
     n = max(shuffle_partitions(rows.sparkSession), -(-total // block_tokens))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("line"), F.lit(n)).cast("int")).repartition(n, "block")
-    wanted = dealt.select("block", F.explode("words").alias("word")).distinct()
+    wanted = dealt.select("block", F.explode(words).alias("word")).distinct()
     found = wanted.join(vocab.select("word", "id"), "word").select(F.col("block").alias("of"), "word", "id")
-    kept = [f for f in rows.schema if f.name != "words"]
+    dealt = dealt.select("block", "line", words.alias("words"), *carry)
+    kept = [f for f in dealt.schema if f.name not in ("block", "words")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", ids array<long>, first boolean"
 
     def encode(lines: pa.Table, known: pa.Table) -> pa.Table:

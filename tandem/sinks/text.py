@@ -45,8 +45,8 @@ def encoded_lines(lines: DataFrame, vocab: DataFrame, line: str = "line",
         ids = encode_lines(lines, words, vocab, line, broadcast_limit)
         joined = frame.join(ids.withColumnRenamed("line", line), line, "left")
     else:  # prefix and suffix go with their line's words; a line without a number has no ids
-        joined = encode_rows(lines.select(F.col(line).alias("line"), words.alias("words"), pre.alias("_pre"), post.alias("_post")),
-                             vocab).withColumn("ids", F.when(F.col("line").isNotNull(), F.col("ids"))).withColumnRenamed("line", line)
+        rows = encode_rows(lines.withColumnRenamed(line, "line"), words, vocab, pre.alias("_pre"), post.alias("_post"))
+        joined = rows.withColumn("ids", F.when(F.col("line").isNotNull(), F.col("ids"))).withColumnRenamed("line", line)
     body = F.coalesce(F.array_join("ids", " "), F.lit(""))
     return joined.select(line, F.concat("_pre", body, F.lit(" "), "_post").alias("encoded"))
 
