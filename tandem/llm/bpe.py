@@ -4,10 +4,12 @@ For each prefix of a piece of text there is one token that its encoding ends
 with. A token may follow another if merging the bytes of the two by rank leaves
 just these two; a sequence is an encoding exactly if all its neighbours may
 follow each other. So the last token of a prefix is the one token that ends there
-and may follow the last token of the prefix before it. An automaton of all tokens names
+and may follow the last token of the prefix before it. A trie of all tokens with links to suffixes names
 the ones that end at a byte, longest first. Storing the last tokens makes an append
 exact (the table only grows) and an edit cheap: the table is kept up to the edit, and
 behind it as soon as as many last tokens as the longest token has bytes are the old ones.
+Words are encoded in order, each from the table of the one before: what they begin with in
+common is not worked out again.
 
 Defined cases: null is the empty text, with no ids; texts are encoded whole, any
 length; special tokens' strings are ordinary text; characters without UTF-8 form
@@ -20,7 +22,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,6 +32,10 @@ from tandem.llm.tokens import LONGEST_CACHED, cut_spaced
 
 #: Words of which a worker keeps the ids, in two generations, and pairs of tokens.
 MOST_CACHED = 500_000
+#: Characters of the texts whose words are looked up together.
+BATCH_CHARS = 2_000_000
+#: Bytes in which words are compared with the ones before them.
+COMPARED = 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,11 +53,53 @@ class Vocabulary:
         self.follows: dict[int, bool] = {}
         self.spines: dict[int, list[int]] = {}
         self.alone: dict[int, bool] = {}
-        # a byte is the character of its number
-        self.automaton = ahocorasick.Automaton()
-        for word, rank in ranks.items():
-            self.automaton.add_word(word.decode("latin-1"), rank)
-        self.automaton.make_automaton()
+        self.coded = {rank: rank.to_bytes(4, "little") for rank in self.words}
+        self.grow()
+
+    def grow(self) -> None:
+        """The trie: ``child`` by node and byte, of each node the node of its longest other suffix, and tokens.
+
+        ``ending`` is the longest token that a node's string ends with (-1: none), ``shorter`` the next one of a token.
+        """
+        self.child: dict[int, int] = {}
+        self.suffix, self.ending, at_node = [0], [-1], {}
+        for word, rank in self.ranks.items():
+            node = 0
+            for byte in word:
+                key = node << 8 | byte
+                node = self.child.get(key)
+                if node is None:
+                    node = self.child[key] = len(self.suffix)
+                    self.suffix.append(0)
+                    self.ending.append(-1)
+            at_node[node] = rank
+        self.shorter: dict[int, int] = {}
+        level = {0: 0}  # nodes of one depth, by depth: a suffix is less deep
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, node in self.child.items():
+            below.setdefault(key >> 8, []).append((key & 255, node))
+        while level:
+            deeper = {}
+            for parent in level:
+                for byte, node in below.get(parent, ()):
+                    deeper[node] = 0
+                    self.suffix[node] = self.step(self.suffix[parent], byte) if parent else 0
+                    longest = self.ending[self.suffix[node]]
+                    rank = at_node.get(node)
+                    if rank is not None:
+                        self.shorter[rank] = longest
+                        longest = rank
+                    self.ending[node] = longest
+            level = deeper
+
+    def step(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that is the beginning of a token, one byte on."""
+        child = self.child.get
+        found = child(node << 8 | byte)
+        while found is None and node:
+            node = self.suffix[node]
+            found = child(node << 8 | byte)
+        return found or 0
 
     def merge(self, text: bytes) -> list[int]:
         """Encoding by definition: join the pair of lowest rank, leftmost first."""
@@ -133,31 +180,43 @@ class PrefixTable:
     def __init__(self, vocabulary: Vocabulary, text: bytes = b""):
         self.vocabulary, self.text = vocabulary, b""
         self.last: list[int] = []
+        self.nodes: list[int] = []  # of the trie, one a prefix
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        v, last, words = self.vocabulary, self.last, self.vocabulary.words
+        v, last, nodes = self.vocabulary, self.last, self.nodes
         self.text += more
-        known, done = v.follows.get, len(last)
-        begin = max(0, done - v.longest + 1)  # where a token that ends behind ``done`` may start
-        for end, token in v.automaton.iter(self.text[begin:].decode("latin-1")):
-            end += begin + 1
-            if end <= done:
-                continue  # a longer one was the last token
-            if end > done + 1:
-                break
-            start = end - len(words[token])
-            if start == 0:
-                fits = v.stands(token)
+        words, known, child, suffix, ending, shorter = v.words, v.follows.get, v.child.get, v.suffix, v.ending, v.shorter
+        end, node = len(last), nodes[-1] if nodes else 0
+        for byte in more:
+            found = child(node << 8 | byte)
+            while found is None and node:
+                node = suffix[node]
+                found = child(node << 8 | byte)
+            node = found or 0
+            end += 1
+            token = ending[node]
+            while token >= 0:
+                start = end - len(words[token])
+                if start:
+                    fits = known(last[start - 1] << 20 | token)
+                    if fits is None:
+                        fits = v.may_follow(last[start - 1], token)
+                else:
+                    fits = v.stands(token)
+                if fits:
+                    break
+                token = shorter[token]
             else:
-                fits = known(last[start - 1] << 20 | token)
-                if fits is None:
-                    fits = v.may_follow(last[start - 1], token)
-            if fits:
-                last.append(token)
-                done = end
-        if done < len(self.text):
-            raise ValueError("the vocabulary lacks a byte of the text")
+                raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(token)
+            nodes.append(node)
+
+    def move(self, text: bytes, same: int) -> None:
+        """Go on to another text, of which the first ``same`` bytes are those of this one."""
+        del self.last[same:], self.nodes[same:]
+        self.text = text[:same]
+        self.append(text[same:])
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replace bytes start..end; only last tokens near the edit are worked out anew.
@@ -165,14 +224,15 @@ class PrefixTable:
         A last token depends on the bytes and last tokens within the longest token's
         length before it, so once that many are the old ones, so are all that follow.
         """
-        tail, old, near = self.text[end:], self.last[end:], self.vocabulary.longest
-        self.text, self.last = self.text[:start], self.last[:start]
+        tail, old, nodes, near = self.text[end:], self.last[end:], self.nodes[end:], self.vocabulary.longest
+        self.text, self.last, self.nodes = self.text[:start], self.last[:start], self.nodes[:start]
         self.append(new)
         for a in range(0, len(tail), near):
             self.append(tail[a:a + near])
             if a + near < len(tail) and min(start, end) + a > near and self.last[-near:] == old[a:a + near]:
                 self.text += tail[a + near:]
                 self.last += old[a + near:]
+                self.nodes += nodes[a + near:]
                 return
 
     def ids(self) -> list[int]:
@@ -191,32 +251,67 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the words of the last full cache, dropped when the next one is full
 
-    def part(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(text):
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: of its pieces, in order of their bytes, one after the other by one table."""
+        v, split = self.vocabulary, self.pattern.findall
+        pieces = [split(word) for word in words]
+        coded: dict[str, bytes] = {}
+        rest = []
+        for piece in set().union(*pieces):
             raw = piece.encode()
-            whole = self.vocabulary.ranks.get(raw)
-            if whole is not None and self.vocabulary.stands(whole):
-                ids.append(whole)
+            whole = v.ranks.get(raw)
+            if whole is not None and v.stands(whole):
+                coded[piece] = v.coded[whole]
             else:
-                ids += PrefixTable(self.vocabulary, raw).ids()
-        return np.array(ids, dtype="<i4").tobytes()
+                rest.append((raw, piece))
+        rest.sort()
+        table, number = PrefixTable(v), v.coded.__getitem__
+        for (raw, piece), same in zip(rest, shared_starts([raw for raw, _ in rest])):
+            table.move(raw, same)
+            coded[piece] = b"".join(map(number, table.ids()))
+        return [coded[p[0]] if len(p) == 1 else b"".join([coded[x] for x in p]) for p in pieces]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian signed 32-bit integers."""
-        found = []
-        for part in cut_spaced(text):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = self.older.get(part)
-                if ids is None:
-                    ids = self.part(part)
-                if len(part) <= LONGEST_CACHED:
-                    if len(self.known) > MOST_CACHED // 2:
-                        self.known, self.older = {}, self.known
-                    self.known[part] = ids
-            found.append(ids)
-        return b"".join(found)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """:meth:`encode` of each text; the words of some texts at a time are looked up together."""
+        found, start, chars = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            chars += len(text)
+            if chars >= BATCH_CHARS or end == len(texts):
+                found += self._together(texts[start:end])
+                start, chars = end, 0
+        return found
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        cuts = [cut_spaced(text) for text in texts]
+        if len(self.known) > MOST_CACHED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [w for w in set().union(*cuts) if w not in known]
+        known.update([(w, older[w]) for w in missing if w in older])
+        new = [w for w in missing if w not in older]
+        known.update(zip(new, self.words(new)))
+        coded = [b"".join([known[w] for w in c]) for c in cuts]
+        for word in missing:
+            if len(word) > LONGEST_CACHED:
+                del known[word]
+        return coded
+
+
+def shared_starts(texts: list[bytes]) -> list[int]:
+    """How many bytes, of the first :data:`COMPARED`, each text has in common with the one before."""
+    if not texts:
+        return []
+    first = np.array(texts, dtype=f"S{COMPARED}").view(np.uint8).reshape(-1, COMPARED)
+    unlike = np.ones((len(texts), COMPARED + 1), bool)
+    unlike[1:, :-1] = first[1:] != first[:-1]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))  # an end looks like a zero byte
+    same = np.minimum(unlike.argmax(1), np.minimum(size, np.roll(size, 1)))
+    same[0] = 0
+    return same.tolist()
 
 
 _LOADED: dict[tuple, object] = {}
@@ -241,7 +336,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                coded = [encoder.encode(t) for t in part.column(TEXT).to_pylist()]
+                coded = encoder.encode_all(part.column(TEXT).to_pylist())
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(ID), ids], [ID, "ids"])
@@ -252,14 +347,25 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def decode(coded: DataFrame, ranks: str) -> DataFrame:
     """``coded`` (doc_id, ids) with ``decoded``, the bytes that the ids stand for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _vocabulary(ranks).words
+        tokens, places = _token_bytes(ranks)
         for batch in batches:
             lists = batch.column("ids")
-            flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
-            ends = ends - ends[0]
-            decoded = [b"".join(map(words.__getitem__, flat[a:b].tolist()))
-                       for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(ID), lists, pa.array(decoded, pa.binary())], [ID, "ids", "decoded"])
+            ends = np.asarray(lists.offsets)
+            found = tokens.take(pa.array(places[lists.flatten().to_numpy()]))
+            # the tokens of a text lie one after the other, so that it is the bytes from its first to its last
+            starts = np.frombuffer(found.buffers()[1], np.int64)[ends - ends[0]]
+            decoded = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(lists), [None, pa.py_buffer(starts), found.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([batch.column(ID), lists, decoded.cast(pa.binary())], [ID, "ids", "decoded"])
 
     return coded.select(ID, "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def _token_bytes(path: str) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The tokens' bytes, and the place of each rank among them."""
+    if ("bytes", path) not in _LOADED:
+        words = _vocabulary(path).words
+        places = np.zeros(max(words) + 1, np.int64)
+        places[list(words)] = np.arange(len(words))
+        _LOADED["bytes", path] = pa.array(list(words.values()), pa.large_binary()), places
+    return _LOADED["bytes", path]

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tandem.llm.bpe import Encoder, PrefixTable, Vocabulary, decode, encode, read_ranks
+from tandem.llm.bpe import COMPARED, Encoder, PrefixTable, Vocabulary, decode, encode, read_ranks, shared_starts
 from tests.llm.conftest import EDGES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +60,27 @@ def test_full_caches_give_the_same_ids(monkeypatch):
     assert np.frombuffer(encoder.encode(text), "<i4").tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_words_go_on_from_the_table_of_the_word_before(monkeypatch):
+    """Words of a batch begin alike; what they have in common is worked out once."""
+    words = [f"conmutationalisch{a}{b}{'x' * (a == 'b') * 40}" for a in "abcdefgh" for b in ("", "isc", "unglich", "\u00e9n")]
+    worked, real = [], PrefixTable.append
+    monkeypatch.setattr(PrefixTable, "append", lambda self, more: worked.append(len(more)) or real(self, more))
+    found = Encoder(VOCABULARY, public_tokenizers.PATTERN).encode_all([" ".join(words), "", " ".join(words[::-1])])
+    assert [np.frombuffer(x, "<i4").tolist() for x in found] == [
+        LIBRARY.encode_ordinary(t) for t in (" ".join(words), "", " ".join(words[::-1]))]
+    assert sum(worked) * 2 < sum(len(w.encode()) + 1 for w in words)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab\0é", max_size=45), max_size=12))
+def test_shared_starts_are_no_longer_than_what_is_shared(texts):
+    texts = sorted(t.encode() for t in texts)
+    found = shared_starts(texts)
+    assert len(found) == len(texts) and not sum(found[:1])
+    for a, b, n in zip(texts, texts[1:], found[1:]):
+        assert n == min(COMPARED, len(os.path.commonprefix([a, b])))
+
+
 def test_a_pair_may_stand_if_merging_leaves_it():
     made = np.random.default_rng(5).integers(0, 50_000, (3000, 2)).tolist()
     for a, b in made:
